@@ -18,6 +18,29 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+# --- 5 ---------------------------------------------------------------------------------------
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.substring import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+
+
+_OP5_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS s FROM d WHERE len(w) >= 13),
+k AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 12], ' ')) AS h FROM p),
+m AS (SELECT h, min(doc_id) AS first FROM k GROUP BY h HAVING count(*) > 1),
+r AS (SELECT DISTINCT k.doc_id, unnest(generate_series(s, s + 12)) AS i FROM k JOIN m USING (h) WHERE k.doc_id > m.first),
+x AS (SELECT doc_id, list(i) AS gone FROM r GROUP BY doc_id),
+y AS (SELECT doc_id, unnest(generate_series(1, len(w))) AS i, unnest(w) AS word FROM d),
+z AS (SELECT y.doc_id, string_agg(word, ' ' ORDER BY y.i) AS kept FROM y LEFT JOIN r ON r.doc_id = y.doc_id AND r.i = y.i
+      WHERE r.i IS NULL GROUP BY y.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id) LEFT JOIN z USING (doc_id)"""
+
+
 # --- 6, 9, 10 --------------------------------------------------------------------------------
 
 
@@ -66,6 +89,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_sentencepiece": op6_sentencepiece,
         "op9_url_filter": op9_url_filter,
         "op10_token_count": op10_token_count,
@@ -73,4 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": _op9_sql()}
+    return {
+        "op5_substring_dedup": _OP5_SQL,
+        "op9_url_filter": _op9_sql(),
+    }
