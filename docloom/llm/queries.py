@@ -18,6 +18,29 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+# --- 3 ---------------------------------------------------------------------------------------
+
+
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.ngram_join import similar_documents
+
+    return similar_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), n=2, pct=60)
+
+
+_OP3_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g
+      FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 1, 1))) AS i FROM d WHERE len(w) > 0)),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT o.a, o.b FROM o JOIN c x ON x.doc_id = o.a JOIN c y ON y.doc_id = o.b WHERE 100 * o.n >= 60 * (x.n + y.n - o.n)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT d.doc_id, coalesce((SELECT n FROM c WHERE c.doc_id = d.doc_id), 0) AS n_shingles,
+       (SELECT count(*) FROM l WHERE l.a = d.doc_id) AS n_similar, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS component_id
+FROM d"""
+
+
 # --- 5 ---------------------------------------------------------------------------------------
 
 
@@ -89,6 +112,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_ngram_jaccard": op3_ngram_jaccard,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_sentencepiece": op6_sentencepiece,
         "op9_url_filter": op9_url_filter,
@@ -98,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_ngram_jaccard": _OP3_SQL,
         "op5_substring_dedup": _OP5_SQL,
         "op9_url_filter": _op9_sql(),
     }
