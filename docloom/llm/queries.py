@@ -64,6 +64,15 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0)
 FROM d LEFT JOIN x USING (doc_id) LEFT JOIN z USING (doc_id)"""
 
 
+# --- 8 ---------------------------------------------------------------------------------------
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.decontam import contaminated
+
+    return contaminated(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
 # --- 6, 9, 10 --------------------------------------------------------------------------------
 
 
@@ -115,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_ngram_jaccard": op3_ngram_jaccard,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_sentencepiece": op6_sentencepiece,
+        "op8_decontamination": op8_decontamination,
         "op9_url_filter": op9_url_filter,
         "op10_token_count": op10_token_count,
     }
