@@ -18,6 +18,25 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+# --- 2 ---------------------------------------------------------------------------------------
+
+
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.topk import quantise, top_products
+
+    vectors = quantise(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return top_products(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+_OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
 # --- 3 ---------------------------------------------------------------------------------------
 
 
@@ -121,6 +140,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_topk": op2_topk,
         "op3_ngram_jaccard": op3_ngram_jaccard,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_sentencepiece": op6_sentencepiece,
@@ -132,6 +152,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_topk": _OP2_SQL,
         "op3_ngram_jaccard": _OP3_SQL,
         "op5_substring_dedup": _OP5_SQL,
         "op9_url_filter": _op9_sql(),
