@@ -18,6 +18,25 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def held_out(modulus: int, fold: int):
+    from docloom.llm.common import crc_mod
+
+    return (crc_mod("doc_id", modulus) == fold).alias("held_out")
+
+
+# --- 1 ---------------------------------------------------------------------------------------
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``flagged`` is the decision against the threshold calibrated for the row's language."""
+    from docloom.llm import toxicity
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), modulus=4, held_out=2)
+    out = toxicity.scores(docs, model)
+    return out.select("doc_id", held_out(4, 2), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "flagged")
+
+
 # --- 2 ---------------------------------------------------------------------------------------
 
 
@@ -83,6 +102,17 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0)
 FROM d LEFT JOIN x USING (doc_id) LEFT JOIN z USING (doc_id)"""
 
 
+# --- 7 ---------------------------------------------------------------------------------------
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm import quality
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"), modulus=3, held_out=1)
+    return quality.scores(docs, model).select("doc_id", held_out(3, 1), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 # --- 8 ---------------------------------------------------------------------------------------
 
 
@@ -140,10 +170,12 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_topk": op2_topk,
         "op3_ngram_jaccard": op3_ngram_jaccard,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_sentencepiece": op6_sentencepiece,
+        "op7_quality": op7_quality,
         "op8_decontamination": op8_decontamination,
         "op9_url_filter": op9_url_filter,
         "op10_token_count": op10_token_count,
