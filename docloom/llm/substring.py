@@ -107,7 +107,7 @@ def repeated_runs(docs: DataFrame, k: int = 13, max_bits: int = 28) -> DataFrame
     spark = docs.sparkSession
     keyed = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = total_bytes(docs)
-    parts = 1 << (parts_for(size, 8 << 20) - 1).bit_length()
+    parts = 1 << (parts_for(size, 2 << 20) - 1).bit_length()
     bits = max(20, min(max_bits, (4 * size).bit_length()), parts.bit_length() + 3)
     bitmap = spark.sparkContext.broadcast(_shared(keyed, k, parts, bits))
     pbits = parts.bit_length() - 1
