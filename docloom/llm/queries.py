@@ -79,6 +79,16 @@ SELECT d.doc_id, coalesce((SELECT n FROM c WHERE c.doc_id = d.doc_id), 0) AS n_s
 FROM d"""
 
 
+# --- 4 ---------------------------------------------------------------------------------------
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm import pii
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.spans_of(docs, pii.fit(docs))
+
+
 # --- 5 ---------------------------------------------------------------------------------------
 
 
@@ -173,6 +183,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_topk": op2_topk,
         "op3_ngram_jaccard": op3_ngram_jaccard,
+        "op4_pii": op4_pii,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_sentencepiece": op6_sentencepiece,
         "op7_quality": op7_quality,
