@@ -54,17 +54,21 @@ class RuleExtractor:
 
     rules: dict[str, str] = field(
         default_factory=lambda: {
-            "CHARACTER": r"(?<![\p{L}\p{N}_])([A-Z][a-z]{3,})(?![\p{L}\p{N}_])",
+            "CHARACTER": r"([A-Z][a-z]{3,})",
             "ADDRESS": r"([A-Za-z0-9._+-]+@[A-Za-z0-9.-]+)",
-            "DATE": r"(?<![0-9.])([0-9]{2,4})(?![0-9.])",
+            "DATE": r"([0-9]{2,})",
         }
     )
 
+    @staticmethod
+    def _of(kind: str) -> Callable[[Column], Column]:
+        return lambda x: _entity(x, kind, F.round(F.least(F.lit(1.0), F.length(x) / 10.0), 3))
+
     def extract(self, text: Column) -> Column:
         out = []
         for kind, pattern in self.rules.items():
             found = F.regexp_extract_all(text, F.lit(pattern), 1)
-            out.append(F.transform(found, lambda x, kind=kind: _entity(x, kind, F.round(F.least(F.lit(1.0), F.length(x) / 10.0), 3))))
+            out.append(F.transform(found, self._of(kind)))
         return F.concat(*out)
 
 
