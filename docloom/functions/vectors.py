@@ -15,7 +15,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def similarity(a: Column, b: Column) -> Column:
     """Cosine of unit vectors, kept within 0 and 1; 0 if either is missing."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b))), F.lit(0.0))
+    d = dot(a, b)
+    return F.when(d.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), d)))
 
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"

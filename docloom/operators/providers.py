@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,8 +105,6 @@ class Provider:
 
     def column(self, prompt: Column) -> Column:
         """Replies as a struct (reply, error): failures become rows, never failed tasks."""
-        import pandas as pd
-
         call, batch, retries = self.call, self.batch, self.retries
 
         @F.pandas_udf("reply string, error string")

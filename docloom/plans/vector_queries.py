@@ -69,7 +69,7 @@ def vec_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH p AS (SELECT vec_id, embedding AS a, lead(embedding) OVER (ORDER BY vec_id) AS b FROM embeddings)
-SELECT vec_id, coalesce(greatest(0.0, least(1.0, round({DOT.format(a='a', b='b')}, 9))), 0.0) AS similarity FROM p""")
+SELECT vec_id, CASE WHEN b IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, round({DOT.format(a='a', b='b')}, 9))) END AS similarity FROM p""")
 def vec_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     nxt = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
