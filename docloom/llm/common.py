@@ -47,9 +47,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def total_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate (file sizes for a scan); only ever used to choose a number of partitions."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def total_bytes(df: DataFrame, text: str = "text") -> int:
+    """About how many bytes ``df`` has; only ever used to choose a number of partitions.
+
+    Catalyst's estimate (file sizes for a scan) will do; where it has none, the texts are measured.
+    """
+    told = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return told if told < 1 << 50 else int(df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0)
 
 
 def parts_for(n_bytes: float, per_part: int = 16 << 20, least: int = 8) -> int:
