@@ -1,8 +1,8 @@
 """Quality: a linear-chain conditional random field labels every line of a document good or bad.
 
 A line is described by binned statistics of itself and of its neighbours; two states and their transitions are
-trained in numpy from document labels (all lines of a document start with its label; lines of bad documents that the
-first fit finds clearly good are then relabelled and the chain is fitted again).  A document's quality is the mean of
+trained in numpy from document labels (all lines of a document start with its label; lines of bad documents that look
+good by themselves are relabelled before the chain is fitted).  A document's quality is the mean of
 its lines' forward-backward marginals weighted by length, put on a probability scale by a logistic fit.
 """
 
@@ -205,11 +205,15 @@ def train(texts: list[str], y: np.ndarray) -> Model:
     text = np.repeat(np.arange(len(y)), np.diff(first))
     label = y[text]
     share = np.minimum(4.0, 0.5 + size / 200)
-    w, trans = _fit_chain(feat, first, label, share)
-    p, _, _ = marginals(w[feat].sum(1), trans, first)
+    # lines by themselves first: one that looks like those of good documents is good in a bad document too
+    own = [k for k, name in enumerate(BINS) if name not in ("whole", "copies")]
+    alone = feat[:, [*own, feat.shape[1] - 1]]
+    each = np.arange(len(label) + 1)
+    w, trans = _fit_chain(alone, each, label, share)
+    p, _, _ = marginals(w[alone].sum(1), trans, each)
     worst = np.full(len(y), 2.0)
     np.minimum.at(worst, text, p)
-    again = np.where((label == 0) & (p > 0.7) & (p > worst[text]), 1.0, label)
+    again = np.where((label == 0) & (p > 0.5) & (p > worst[text]), 1.0, label)
     w, trans = _fit_chain(feat, first, again, share)
     p, _, _ = marginals(w[feat].sum(1), trans, first)
     return Model(w, trans, _platt(_aggregate(p, size, first), y))
