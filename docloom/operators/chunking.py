@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import preview, trim_u
-from docloom.functions.vectors import letter_counts, similarity, unit_vector
+from docloom.functions.vectors import similarity
 from docloom.operators.domains import DOMAINS, Domain, percentile_of
-from docloom.operators.providers import Embedder, LineSectioner, Sectioner, context_limit
+from docloom.operators.providers import Embedder, LetterEmbedder, LineSectioner, Sectioner, context_limit
 
 LEAST, MOST, CUT = 100, 10_000, 500
 
@@ -123,9 +123,9 @@ def with_distances(docs: DataFrame, percentile: float, embedder: Embedder | None
     the distance exceeds it (all rounded to nine places, so that engines agree)."""
     rows = settle(docs, raw=F.filter(F.transform(F.split("text", r"\. "), trim_u), lambda s: s != ""))
     rows = settle(rows, sentences=_ended(F.col("raw"))).drop("raw")
-    rows = settle(rows.select("*", F.transform("sentences", lambda s: F.array(*letter_counts(s))).alias("counts")), vectors=F.transform("counts", unit_vector)) if embedder is None else settle(rows, vectors=F.transform("sentences", embedder.embed))
+    rows = rows.withColumn("vectors", LetterEmbedder().embed_all(F.col("sentences"))) if embedder is None else settle(rows, vectors=F.transform("sentences", embedder.embed))
     gaps = F.zip_with(F.slice("vectors", 1, F.greatest(F.size("vectors") - 1, F.lit(0))), F.slice("vectors", 2, 1 << 30), lambda a, b: F.round(1 - similarity(a, b), 9))
-    rows = settle(rows.drop("counts"), distances=gaps).drop("vectors")
+    rows = settle(rows, distances=gaps).drop("vectors")
     rows = settle(rows, ranked=F.array_sort("distances"))
     at = (F.size("ranked") - 1) * (percentile / 100)
     low = F.floor(at).cast("int")

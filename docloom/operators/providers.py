@@ -10,9 +10,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from docloom.functions.vectors import letter_vector
 
@@ -43,6 +45,27 @@ class LetterEmbedder:
     def embed(self, text: Column) -> Column:
         return letter_vector(text)
 
+    def embed_all(self, texts: Column) -> Column:
+        """The same for an array of texts, in one Arrow call for a whole batch of rows."""
+        return _letter_vectors(texts)
+
+
+@F.pandas_udf(ArrayType(ArrayType(DoubleType())))
+def _letter_vectors(rows: pd.Series) -> pd.Series:
+    out = []
+    for texts in rows:
+        if texts is None or not len(texts):
+            out.append([])
+            continue
+        raw = [t.lower().encode() for t in texts]
+        code = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64) - 97
+        text = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
+        ok = (code >= 0) & (code < 26)
+        n = np.bincount(text[ok] * 26 + code[ok], minlength=26 * len(raw)).reshape(-1, 26).astype(float)
+        norm = np.sqrt((n * n).sum(1, keepdims=True))
+        out.append(list(np.round(np.divide(n, norm, out=np.zeros_like(n), where=norm > 0), 9)))
+    return pd.Series(out)
+
 
 def _entity(name: Column, kind: str, confidence: Column) -> Column:
     none = F.lit(None).cast("string")

@@ -132,6 +132,33 @@ def toc_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.accepted(v, rejections=2, failures=2).select("doc_id", "ord")
 
 
+@query("SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS ord FROM conversations WHERE turn % 4 = 2")
+def toc_substantive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("turn") % 4
+    title = F.when(k == 0, F.concat(F.lit("Introduction "), "role")).when(k == 1, F.lit("Table of CONTENTS")).when(k == 2, F.concat(F.lit("About "), "role")).otherwise(F.lit("Index"))
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("ord"), title.alias("title"))
+    return C.substantive(c).select("doc_id", "ord")
+
+
+@query(f"""WITH {_ENTRIES}, b AS (SELECT doc_id, avg(CASE WHEN page BETWEEN 1 AND 40 THEN 0 ELSE 1 END) <= 0.2 AS bo, count(*) AS n FROM en GROUP BY doc_id),
+l AS (SELECT doc_id, page, coalesce(lead(page) OVER (PARTITION BY doc_id ORDER BY page, ord) - 1, 40) - page + 1 AS k FROM en WHERE page IS NOT NULL),
+s AS (SELECT doc_id, avg(CAST(k <= 2 AS INT)) <= 0.5 AND avg(CAST(k > 32 AS INT)) <= 0.2 AND count(DISTINCT page) = count(page) AS so FROM l GROUP BY doc_id),
+t AS (SELECT conv_id AS doc_id, avg(CAST(length(text) % 2 = 0 AS INT)) AS rate FROM conversations WHERE role = 'user' GROUP BY conv_id)
+SELECT b.doc_id, bo AND (coalesce(so, false) OR n < 4 OR rate IS NULL OR rate >= 0.75) AS valid FROM b LEFT JOIN s USING (doc_id) LEFT JOIN t USING (doc_id)""")
+def toc_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds, then boundaries or content; content is tested by a stand-in for similarity on the user's turns."""
+    e = _entries(spark, sf_dir)
+    pages = e.select("doc_id", F.lit(40).alias("pages")).distinct()
+    tested = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("doc_id"), (F.length("text") % 2 == 0).alias("matches"))
+    counts = e.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return C.is_valid(C.bounds_ok(e, pages), C.boundaries_ok(e, pages), C.content_ok(tested, counts))
+
+
+@query(f"WITH {LINES} SELECT doc_id, page, ord, CASE WHEN y1 <= 0.05 * 280 THEN 0.0 ELSE greatest(0.0, y1 - 10) END AS top FROM ln")
+def section_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).select("doc_id", "page", "ord", G.crop_top(F.col("y1"), 280.0).alias("top"))
+
+
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     y = F.unix_seconds(F.col("ts").cast("timestamp")).cast("double")
