@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import U64, grams, materialise, parts_for, slices, total_bytes, word_hashes, word_spans
 
 SHORT = 5  # words of a minimiser
+FLUSH = 1 << 18  # windows a worker holds before it sends them
 
 
 def _minimisers(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -114,9 +115,20 @@ def repeated_runs(docs: DataFrame, k: int = 13, max_bits: int = 28) -> DataFrame
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bitmap.value
+
+        def packed(got: list, ids: np.ndarray, tids: np.ndarray) -> pa.RecordBatch:
+            v, h1, h2, pos, row = (np.concatenate(x) for x in zip(*got))
+            part = (v >> U64(64 - pbits)).astype(np.int32) if pbits else np.zeros(len(v), np.int32)
+            out = []
+            for p, (a1, a2, ap, ar) in _by_part(part, [h1, h2, pos, row]):
+                rows, inv = np.unique(ar, return_inverse=True)
+                out.append((p, a1.tobytes(), a2.tobytes(), ap.tobytes(), inv.astype(np.int32).tobytes(), ids[rows].tobytes(), tids[rows].tobytes()))
+            cols = list(zip(*out))
+            return pa.record_batch([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["part", "h1", "h2", "pos", "row", "ids", "tids"])
+
         for b in batches:
             ids, tids = b.column(0).to_numpy(), b.column(2).to_numpy()
-            got = []
+            got, held = [], 0
             for row, _, buf, off in slices(b, "text"):
                 w, g, s, at, text, word0 = _minimisers(buf, off, k)
                 if not len(s):
@@ -134,16 +146,12 @@ def repeated_runs(docs: DataFrame, k: int = 13, max_bits: int = 28) -> DataFrame
                         h2 = (h2 ^ x) * U64(0xD6E8FEB86659FD93)
                         h2 ^= h2 >> U64(32)
                 got.append((g[at], h1, (h2 >> U64(16)).astype(np.uint32), (s - word0).astype(np.int32), (text + row).astype(np.int32)))
-            if not got:
-                continue
-            v, h1, h2, pos, row = (np.concatenate(x) for x in zip(*got))
-            part = (v >> U64(64 - pbits)).astype(np.int32) if pbits else np.zeros(len(v), np.int32)
-            out = []
-            for p, (a1, a2, ap, ar) in _by_part(part, [h1, h2, pos, row]):
-                rows, inv = np.unique(ar, return_inverse=True)
-                out.append((p, a1.tobytes(), a2.tobytes(), ap.tobytes(), inv.astype(np.int32).tobytes(), ids[rows].tobytes(), tids[rows].tobytes()))
-            cols = list(zip(*out))
-            yield pa.record_batch([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["part", "h1", "h2", "pos", "row", "ids", "tids"])
+                held += len(s)
+                if held > FLUSH:
+                    yield packed(got, ids, tids)
+                    got, held = [], 0
+            if got:
+                yield packed(got, ids, tids)
 
     def meet(t: pa.Table) -> pa.Table:
         cols: list[list[np.ndarray]] = [[], [], [], [], []]
