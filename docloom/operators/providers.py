@@ -159,3 +159,11 @@ def context_limit(model: str) -> int:
 
 def output_limit(model: str) -> int:
     return LIMITS.get(model, FALLBACK)[1]
+
+
+def checked(config: dict[str, object], required: tuple[str, ...] = ("model", "vision_prompt")) -> dict[str, object]:
+    """The config if its required values are there and not blank."""
+    bad = [k for k in required if not str(config.get(k) or "").strip()]
+    if bad:
+        raise ValueError(f"missing or blank in the config: {', '.join(bad)}")
+    return config

@@ -108,6 +108,26 @@ def context_prompt(analysis: DataFrame) -> DataFrame:
     return analysis.agg(text.alias("prompt"), F.count(F.lit(1)).alias("entities"), F.coalesce(F.sum(F.size("relations")), F.lit(0)).alias("relations"))
 
 
+def embedding_texts(entities: DataFrame) -> DataFrame:
+    """What is embedded of an entity: its name with its type, and these with description and context."""
+    return entities.withColumns({"name_text": F.concat_ws(" ", "name", "type"), "context_text": F.concat_ws(" ", "name", "type", "description", "context")})
+
+
+def contextual_entities(hits: DataFrame, entities: DataFrame, most: int = 10, aliases: int = 10) -> DataFrame:
+    """Found entities (id, score) as extraction prompts want them, best first."""
+    rows = hits.join(entities, "id").orderBy(F.desc("score"), "id").limit(most)
+    return rows.select("id", "name", "type", F.slice("aliases", 1, aliases).alias("aliases"), "description", "confidence")
+
+
+def card(entities: DataFrame, edges: DataFrame, node: str | int, most_edges: int = 20, most_related: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One entity's row, its first edges with their direction, and its first related entities two hops away."""
+    from docloom.operators.graph import EDGE_KEY, edges_of, within_hops
+
+    own = entities.where(F.col("id") == node)
+    related = within_hops(edges, own, entities).select("id").join(entities.select("id", "name", "type"), "id").orderBy("id")
+    return own, edges_of(edges, node).orderBy(*EDGE_KEY, "direction").limit(most_edges), related.limit(most_related)
+
+
 def status(entities: DataFrame, chunks: DataFrame, edges: DataFrame) -> DataFrame:
     one = lambda df, n: df.agg(F.count(F.lit(1)).alias(n))
     return one(entities, "entities").join(one(chunks, "chunks")).join(one(edges, "relations"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import normalise, page_mentions, preview, title_preview
+from docloom.functions.vectors import similarity
+from docloom.operators.providers import Embedder, LetterEmbedder
 
 NUMBERING = r"^(?:[0-9]+\.|[\p{L}\p{N}_]+\s+[0-9]+|Art\.|Artykuł|Chapter|Rozdział|Section|§)"
 STRONG = r"^(?:[0-9]+\.|Art\.|Artykuł|Chapter|Rozdział|Section)"
@@ -143,6 +145,29 @@ def title_places(titles: DataFrame, lines: DataFrame, share: float = 0.8) -> Dat
     return best.select("doc_id", "entry", "title", "page", F.coalesce("exact", "one", "two", "words").alias("y"), step.alias("step"))
 
 
+def semantic_places(places: DataFrame, lines: DataFrame, embedder: Embedder | None = None, least: float = 0.6, rise: float = 0.3, high: float = 0.5) -> DataFrame:
+    """The last two steps for titles that have no place yet (doc_id, entry, title, page, y null).
+
+    4. the most similar of the page's bold lines and those in type a tenth above the page's mean, if it reaches
+    ``least``; 5. the first line whose similarity is more than ``rise`` above the line before and more than ``high``.
+    Only unplaced titles and the lines of their pages are embedded.
+    """
+    embed = (embedder or LetterEmbedder()).embed
+    left = places.where("y is null").select("doc_id", "entry", "title", "page", embed(F.col("title")).alias("q"))
+    wanted = left.select("doc_id", "page").distinct()
+    page = Window.partitionBy("doc_id", "page")
+    own = lines.join(wanted, ["doc_id", "page"], "left_semi").withColumn("marked", (F.col("flags").bitwiseAND(16) > 0) | (F.col("font_size") > 1.1 * F.avg("font_size").over(page)))
+    own = own.select("doc_id", "page", "ord", F.col("y1").alias("ly"), "marked", embed(F.col("text")).alias("v"))
+    both = left.join(own, ["doc_id", "page"]).withColumn("s", F.round(similarity(F.col("q"), F.col("v")), 9)).drop("q", "v")
+    before = F.lag("s").over(Window.partitionBy("doc_id", "entry", "page").orderBy("ord"))
+    both = both.withColumn("jump", (F.round(F.col("s") - before, 9) > rise) & (F.col("s") > high))
+    visual = F.min(F.when(F.col("marked") & (F.col("s") >= least), F.struct((-F.col("s")).alias("r"), "ord", "ly")))["ly"]
+    jump = F.min(F.when(F.col("jump"), F.struct("ord", "ly")))["ly"]
+    found = both.groupBy("doc_id", "entry", "page").agg(visual.alias("visual"), jump.alias("jump"))
+    step = F.when(F.col("visual").isNotNull(), F.lit("visual")).when(F.col("jump").isNotNull(), F.lit("jump"))
+    return found.select("doc_id", "entry", "page", F.coalesce("visual", "jump").alias("y"), step.alias("step")).where("y is not null")
+
+
 def start_points(places: DataFrame) -> DataFrame:
     """Places in reading order, the top of the page where none was found."""
     w = Window.partitionBy("doc_id").orderBy("page", "y", "entry")

@@ -267,6 +267,20 @@ def start_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.start_points(G.title_places(_titles(spark, sf_dir), lines(spark, sf_dir)).select("doc_id", "entry", "title", "page", F.col("y"))).select("doc_id", "section", "page", "y", "precise")
 
 
+_VEC = lambda x: f"(SELECT list_transform(c, lambda z: CASE WHEN sqrt(list_sum(list_transform(c, lambda t: t * t))) > 0 THEN round(z / sqrt(list_sum(list_transform(c, lambda t: t * t))), 9) ELSE 0.0 END) FROM (SELECT list_transform(range(26), lambda k: CAST(length({x}) - length(replace(lower({x}), chr(CAST(97 + k AS INT)), '')) AS DOUBLE)) AS c))"
+
+
+@query(f"""WITH {LINES}, {_PLACES}, le AS (SELECT doc_id, entry, title, page, {_VEC('title')} AS q FROM pl WHERE coalesce(e, a, b, g) IS NULL),
+ow AS (SELECT doc_id, page, ord, y1, (page * 8 + ord) % 4 = 0 OR font_size > 1.1 * avg(font_size) OVER (PARTITION BY doc_id, page) AS marked, {_VEC('text')} AS v FROM ln),
+bo AS (SELECT le.doc_id, entry, le.page, ord, y1, marked, greatest(0.0, least(1.0, round(list_sum(list_transform(list_zip(q, v), lambda z: z[1] * z[2])), 9))) AS s FROM le JOIN ow ON ow.doc_id = le.doc_id AND ow.page = le.page),
+ju AS (SELECT *, round(s - lag(s) OVER (PARTITION BY doc_id, entry, page ORDER BY ord), 9) > 0.3 AND s > 0.5 AS jump FROM bo),
+fi AS (SELECT doc_id, entry, page, min_by(y1, (1 - s) * 1000 + ord / 1e7) FILTER (marked AND s >= 0.6) AS vi, min_by(y1, ord) FILTER (jump) AS j FROM ju GROUP BY ALL)
+SELECT doc_id, entry, page, coalesce(vi, j) AS y, CASE WHEN vi IS NOT NULL THEN 'visual' ELSE 'jump' END AS step FROM fi WHERE coalesce(vi, j) IS NOT NULL""")
+def title_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = lines(spark, sf_dir)
+    return G.semantic_places(G.title_places(_titles(spark, sf_dir), x), x)
+
+
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = G.title_places(_titles(spark, sf_dir), lines(spark, sf_dir)).drop("step")
     return G.sequential(G.start_points(places), _pages(spark, sf_dir))

@@ -159,3 +159,33 @@ def test_provider_failures_are_rows(spark):
 def test_rule_extractor_finds_kinds(spark):
     df = spark.createDataFrame([(1, "Anna wrote to a.b@c.de in 1999")], "doc_id long, text string")
     assert {(r.name, r.type) for r in X.mentions(df, RuleExtractor()).collect()} == {("Anna", "CHARACTER"), ("a.b@c.de", "ADDRESS"), ("1999", "DATE")}
+
+
+def test_entity_card_and_context(spark):
+    ents = spark.createDataFrame([("a", "Anna", "P", ["x"] * 12, None, 0.9, "c"), ("b", "Bob", "P", [], "d", 0.8, None), ("c", "Cid", "P", [], None, 0.7, None)], "id string, name string, type string, aliases array<string>, description string, confidence double, context string")
+    e = spark.createDataFrame([("a", "b", "KNOWS"), ("b", "c", "KNOWS"), ("a", "a", "SELF")], "source_id string, target_id string, relation_type string")
+    own, edges, related = S.card(ents, e, "a")
+    assert own.count() == 1 and edges.count() == 3 and [r.id for r in related.collect()] == ["b", "c"]
+    hits = spark.createDataFrame([("a", 0.7), ("c", 0.9), ("zz", 1.0)], "id string, score double")
+    got = S.contextual_entities(hits, ents).collect()
+    assert [r.id for r in got] == ["c", "a"] and len(got[1].aliases) == 10
+    assert {r.id: r.context_text for r in S.embedding_texts(ents).collect()} == {"a": "Anna P c", "b": "Bob P d", "c": "Cid P"}
+
+
+def test_config_check():
+    from docloom.operators.providers import checked, context_limit, output_limit
+
+    assert checked({"model": "m", "vision_prompt": "p"})["model"] == "m"
+    with pytest.raises(ValueError):
+        checked({"model": " ", "vision_prompt": "p"})
+    assert context_limit("unknown") == 32_768 and output_limit("unknown") == 8_192 and C.chunk_size("unknown") == int((32_768 - 1500) * 0.75)
+
+
+def test_context_join_in_blocks(spark):
+    from docloom.operators.search import top_k_join
+
+    v = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(40)], "id long, embedding array<double>")
+    q = v.where("id < 9").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    rows = [top_k_join(q, v, 3, 2.0, query_rows=n).orderBy("query_id", "rank").collect() for n in (2, 64)]
+    assert rows[0] == rows[1] and rows[0]
+    assert top_k_join(q.limit(0), v, 3, 2.0).count() == 0
