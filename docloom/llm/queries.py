@@ -144,13 +144,22 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+JUNK = ("spam-farm", "cheap-pills", "casino-win", "free-bets")
+
+
+def listed_pages(pages: DataFrame) -> DataFrame:
+    """The URLs of all pages of the junk hosts and of their subdomains, under any domain."""
+    from docloom.llm.urlfilter import host_of
+
+    return pages.where(host_of(F.col("url")).rlike(rf"(^|\.)({'|'.join(JUNK)})\.")).select("url")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list is every page of the hosts known as spam farms."""
-    from docloom.llm.urlfilter import host_of, judge
+    """The list is every page of the junk hosts and their subdomains."""
+    from docloom.llm.urlfilter import judge
 
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.where(host_of(F.col("url")).startswith("spam-farm.")).select("url")
-    return judge(pages, RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+    return judge(pages, RULES, listed_pages(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def _op9_sql() -> str:
