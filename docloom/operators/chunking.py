@@ -159,11 +159,12 @@ def by_percentile(docs: DataFrame, percentile: float = 90, embedder: Embedder |
     return _numbered(rows, [*[c for c in docs.columns if c != "text"], "dropped"])
 
 
-def word_windows(docs: DataFrame, size: int = 200, overlap: int = 50, most: int = 10) -> DataFrame:
-    """Windows of ``size`` words at a stride of size - overlap, at most ``most`` a document."""
+def word_windows(docs: DataFrame, size: int = 200, overlap: int = 50, most: int | None = None) -> DataFrame:
+    """Windows of ``size`` words at a stride of size - overlap: all of them, or for the text of a page the first ``most``."""
     step = size - overlap
     words = docs.withColumn("words", F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    count = F.least(F.lit(most), F.ceil(F.size("words") / step).cast("int"))
+    count = F.ceil(F.size("words") / step).cast("int")
+    count = count if most is None else F.least(F.lit(most), count)
     rows = words.where(F.size("words") > 0).select(*[c for c in docs.columns if c != "text"], "words", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk_id"))
     return rows.withColumn("text", F.array_join(F.slice("words", F.col("chunk_id") * step + 1, F.lit(size)), " ")).drop("words")
 

@@ -35,3 +35,12 @@ def test_listed_pages_are_blocked_without_a_rule(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: r.verdict for r in Q.op9_url_filter(spark, str(tmp_path)).collect()}
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow"}  # the rule com/ allows the last
+
+
+def test_word_windows_hold_every_word(spark, tmp_path):
+    from docloom import registry
+
+    words = [f"w{i}" for i in range(4321)]
+    spark.createDataFrame([(1, " ".join(words)), (2, "a b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = registry.queries()["chunk_word_window"](spark, str(tmp_path)).where("doc_id = 1").orderBy("chunk_id").collect()
+    assert [r.chunk_id for r in rows] == list(range(29)) and all(r.text.split() == words[r.chunk_id * 150 : r.chunk_id * 150 + 200] for r in rows)
