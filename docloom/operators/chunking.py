@@ -50,8 +50,8 @@ def _smart_end(text: Column, start: Column, end: Column, half: int) -> Column:
     return F.when((end > lo) & (best > start + half), best).otherwise(end)
 
 
-def model_aware(docs: DataFrame, size: int, overlap: int = 400, most: int = 100, smart: bool = True) -> DataFrame:
-    """Windows of ``size`` characters at a stride of size - overlap, at most ``most`` of them, ends pulled to a break.
+def model_aware(docs: DataFrame, size: int, overlap: int = 400, most: int | None = None, smart: bool = True) -> DataFrame:
+    """Windows of ``size`` characters at a stride of size - overlap, all or the first ``most``, ends pulled to a break.
 
     Starts don't depend on moved ends.  A document without text has no chunk.
     """
@@ -59,7 +59,8 @@ def model_aware(docs: DataFrame, size: int, overlap: int = 400, most: int = 100,
     if step <= 0:
         raise ValueError("the overlap must be smaller than the size")
     n = F.length("text")
-    count = F.least(F.lit(most), F.floor(n / step).cast("int") + 1)
+    count = F.floor(n / step).cast("int") + 1
+    count = count if most is None else F.least(F.lit(most), count)
     rows = docs.where(n > 0).withColumn("chunk_id", F.explode(F.sequence(F.lit(0), count - 1)))
     rows = rows.withColumn("start", F.col("chunk_id") * step).withColumn("raw", F.least(F.col("start") + size, n))
     rows = rows.where((F.col("start") < n) & ((F.col("chunk_id") == 0) | (F.col("start") - step + size < n)))

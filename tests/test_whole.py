@@ -44,3 +44,18 @@ def test_word_windows_hold_every_word(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(words)), (2, "a b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = registry.queries()["chunk_word_window"](spark, str(tmp_path)).where("doc_id = 1").orderBy("chunk_id").collect()
     assert [r.chunk_id for r in rows] == list(range(29)) and all(r.text.split() == words[r.chunk_id * 150 : r.chunk_id * 150 + 200] for r in rows)
+
+
+def test_model_aware_windows_reach_the_end(spark, tmp_path):
+    from docloom import registry
+
+    text = "".join(f"word{i} " for i in range(14_000))
+    spark.createDataFrame([(1, text), (2, "a b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: registry.queries()[name](spark, str(tmp_path))
+    for name in ("chunk_model_aware", "chunk_model_aware_smart"):
+        rows = run(name).where("doc_id = 1").orderBy("chunk_id").collect()
+        assert len(text) > 100_000 and len(rows) == -(-(len(text) - 200) // 800) and rows[-1].end == len(text)
+        assert all(r.start == 800 * r.chunk_id and text[r.start : r.end] == r.text for r in rows)
+    s = run("chunk_stats").first()
+    assert s.chunks == len(rows) + 1 and s.total == len(text) + 200 * (len(rows) - 1) + 3
+    assert run("chunk_overlap").count() == len(rows) - 1
