@@ -102,11 +102,11 @@ def embed_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT vec_id AS doc_id, embedding AS q, vec_id % 3 = 0 AS has FROM embeddings), w AS (SELECT vec_id - 1 AS doc_id, embedding AS v FROM embeddings UNION ALL SELECT vec_id - 2, embedding FROM embeddings)
 SELECT t.doc_id, max(CASE WHEN v IS NOT NULL THEN greatest(0.0, least(1.0, round({DOT.format(a='q', b='v')}, 9))) END) >= 0.1 AS matches FROM t LEFT JOIN w ON w.doc_id = t.doc_id AND t.has GROUP BY t.doc_id""")
 def title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector as a title against the two after it as windows of its page; two in three pages have none."""
+    """Each vector as a title against the two after it as windows of its page; the last one's page has none."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     titles = e.select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("page"), F.lit("t").alias("title"), F.col("embedding").alias("q"))
     w = lambda k: e.select((F.col("vec_id") - k).alias("doc_id"), F.lit(0).alias("page"), F.col("embedding").alias("v"))
-    return V.title_match(titles, w(1).union(w(2)).where("doc_id % 3 = 0"), 0.1).select("doc_id", "matches")
+    return V.title_match(titles, w(1).union(w(2)), 0.1).select("doc_id", "matches")
 
 
 @query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")

@@ -59,3 +59,12 @@ def test_model_aware_windows_reach_the_end(spark, tmp_path):
     s = run("chunk_stats").first()
     assert s.chunks == len(rows) + 1 and s.total == len(text) + 200 * (len(rows) - 1) + 3
     assert run("chunk_overlap").count() == len(rows) - 1
+
+
+def test_every_title_is_compared(spark, tmp_path):
+    from docloom import registry
+
+    v = [[1.0, 0.0], [1.0, 0.0], [0.0, 1.0], [1.0, 0.0], [0.0, 1.0], [-1.0, 0.0], [0.0, 1.0]]
+    spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.doc_id: r.matches for r in registry.queries()["title_match"](spark, str(tmp_path)).collect()}
+    assert got == {0: True, 1: True, 2: True, 3: False, 4: True, 5: False, 6: None}
