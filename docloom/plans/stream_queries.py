@@ -44,8 +44,8 @@ _CELL = squeeze_sql("replace(substr(text, 1, 12), '|', ' ')")
 def md_to_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.functions.text import squeeze
 
-    cell = squeeze(F.replace(F.substring("text", 1, 12), F.lit("|"), F.lit(" ")))
-    text = F.concat(F.lit("## Head **"), "role", F.lit("**\n\n| key | value |\n|---|---|\n| "), "role", F.lit(" | "), cell, F.lit(" |\n  after *it*\nsee [link](http://x) and `code` *"), "role", F.lit("*\n "))
+    cell = squeeze(F.replace("text", F.lit("|"), F.lit(" ")))
+    text = F.concat(F.lit("## Head **"), "role", F.lit("**\n\n| key | value |\n|---|---|\n| "), "role", F.lit(" | "), cell, F.lit(" |\n  after *it*\nsee [link](http://x) and `code` *"), "role", F.lit("*\n \n"), "text")
     return to_plain(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), text.alias("text")))
 
 

@@ -68,3 +68,15 @@ def test_every_title_is_compared(spark, tmp_path):
     spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r.doc_id: r.matches for r in registry.queries()["title_match"](spark, str(tmp_path)).collect()}
     assert got == {0: True, 1: True, 2: True, 3: False, 4: True, 5: False, 6: None}
+
+
+def test_markdown_of_whole_turns(spark, tmp_path):
+    from docloom import registry
+
+    turn = "A first line | with a pipe.\n\n- a **bold** item\n\n| a | b |\n|---|---|\n| 1 | 2 |\nafter\nthe end"
+    spark.createDataFrame([(1, 2, "user", turn)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = registry.queries()["md_to_plain"](spark, str(tmp_path)).first()
+    cell = "key: user; value: A first line with a pipe. - a **bold** item a b"
+    lines = got.text.split("\n")
+    assert got.doc_id == 1002 and lines[0] == "Head user" and lines[1].startswith(cell) and lines[1].endswith("after the end")
+    assert lines[2:] == ["after *it*", "see link and code user", "A first line | with a pipe.", "- a bold item", "a: 1; b: 2", "after", "the end"]
