@@ -80,3 +80,16 @@ def test_markdown_of_whole_turns(spark, tmp_path):
     lines = got.text.split("\n")
     assert got.doc_id == 1002 and lines[0] == "Head user" and lines[1].startswith(cell) and lines[1].endswith("after the end")
     assert lines[2:] == ["after *it*", "see link and code user", "A first line | with a pipe.", "- a bold item", "a: 1; b: 2", "after", "the end"]
+
+
+def test_training_windows_come_from_all_texts():
+    import numpy as np
+
+    from docloom.llm import pii
+
+    texts = [" ".join(f"d{i}x{k} call +1 (555) 123-4567 now" for k in range(200)) for i in range(40)]
+    examples, words = pii._sample(texts, np.random.default_rng(1), 300)
+    assert len(examples) == 300 and any(spans for _, spans in examples)
+    seen = {w.split("x")[0] for cut, _ in examples for w in cut.split() if w.startswith("d") and "x" in w}
+    assert len(seen) == 40 and len({w.split("x")[0] for w in words if "x" in w}) == 40
+    assert pii._sample([], np.random.default_rng(1), 300) == ([], [])
