@@ -2,11 +2,11 @@
 
 The normaliser walks the model's compiled character map (a double-array trie followed by zero-terminated
 replacements), always taking the longest prefix, and records for each normalised byte the source byte it came
-from.  Pieces found on the normalised text are thus projected to spans of the original UTF-8 text.
+from.  The library's pieces, which lie on the normalised text, are projected through that record to spans of the
+original UTF-8 text.  A model without a map normalises only white space, which numpy does for a whole text at once.
 
 Merges of this model family never join a word to the white space after it (checked when a model is loaded), so
-a text is a sequence of independent chunks "spaces + word", and each distinct chunk is encoded by the library once
-per worker and kept in a bounded cache.  Models for which the check fails are encoded whole.
+a text longer than ``LONG`` is encoded in parts cut before a space.  Models for which the check fails are encoded whole.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
+_CUT = re.compile(rf"(?<=[^ \n{MARK}\0]) (?=[^ \n{MARK}\0])")
 
 
 class CharsMap:
@@ -63,7 +64,9 @@ class CharsMap:
 class Codec:
     """Encoder and decoder of one model file, equal to the library's encode(text) and decode(ids)."""
 
-    def __init__(self, path: str, cache: int = 200_000):
+    LONG = 1 << 20  # characters encoded at once, where a text can be cut
+
+    def __init__(self, path: str):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -75,85 +78,40 @@ class Codec:
         self.chars = CharsMap(spec.precompiled_charsmap)
         self.prefix, self.squeeze, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
         pieces = [p.piece for p in model.pieces]
-        self.pieces = pieces
-        self.byte = {i: int(p.piece[3:5], 16) for i, p in enumerate(model.pieces) if p.type == 6}
-        self.control = {i for i, p in enumerate(model.pieces) if p.type in (2, 3)}
+        byte = {i for i, p in enumerate(model.pieces) if p.type == 6}
+        self.unknown = self.sp.unk_id()
+        self.width = np.array([1 if i in byte else len(p.encode()) for i, p in enumerate(pieces)])  # in normalised bytes
+        self.decimal = [str(i) for i in range(len(pieces))]
         plain = self.chars.units is None and self.prefix and self.escape and not self.squeeze and not model.trainer_spec.treat_whitespace_as_suffix
-        self.chunked = plain and model.trainer_spec.model_type == 2 and bool(self.byte) and not any(p.type == 4 for p in model.pieces) and not any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces)
-        self.cache: dict[str, tuple[str, int, str]] = {}
-        self.bound = cache
-
-    def chunks(self, text: str) -> list[str]:
-        """The independent chunks of a non-empty text, dummy prefix included, white space as marks."""
-        s = MARK + text.replace(" ", MARK)
-        if "\n" in s or MARK * 2 in s:
-            return re.findall(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+", s)
-        return [MARK + w for w in s[1:].split(MARK)]
-
-    def _learn(self, chunk: str) -> tuple[str, int, str]:
-        # the library adds the dummy prefix itself: a chunk with a mark drops one, another gets a guard newline in front
-        if chunk[0] == MARK:
-            ids = self.sp.encode(chunk[1:]) if len(chunk) > 1 else [self.sp.piece_to_id(MARK)]
-        else:
-            guard = self.sp.encode("\n")
-            ids = self.sp.encode("\n" + chunk)[len(guard) :]
-        out = (",".join(map(str, ids)), len(ids), self.plain(ids))
-        if len(self.cache) >= self.bound:
-            self.cache.clear()
-        self.cache[chunk] = out
+        self.simple = plain and bool(byte)  # nothing to look up, and no unknown piece
+        self.divisible = self.simple and model.trainer_spec.model_type == 2 and not any(p.type == 4 for p in model.pieces) and not any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces)
+
+    def ids(self, text: str) -> list[int]:
+        """The library's ids; a long text in parts cut before a space, which the next part's dummy prefix stands for."""
+        if len(text) <= self.LONG or not self.divisible:
+            return self.sp.encode(text)
+        out: list[int] = []
+        a = 0
+        while a < len(text):
+            m = _CUT.search(text, a + self.LONG) if len(text) - a > self.LONG else None
+            out += self.sp.encode(text[a : m.start()] if m else text[a:])
+            a = m.end() if m else len(text)
         return out
 
-    def plain(self, ids: list[int]) -> str:
-        """The text of ids, with the leading dummy space if there is one; bytes that are no UTF-8 become U+FFFD each."""
-        out, raw = [], bytearray()
-
-        def flush() -> None:
-            while raw:
-                try:
-                    out.append(raw.decode())
-                    raw.clear()
-                except UnicodeDecodeError as e:
-                    out.append(raw[: e.start].decode() + "�")
-                    del raw[: e.start + 1]
-
-        for i in ids:
-            if i in self.byte:
-                raw.append(self.byte[i])
-                continue
-            flush()
-            if i not in self.control:
-                out.append(self.pieces[i].replace(MARK, " "))
-            elif i == self.sp.unk_id():
-                out.append(" ⁇ ")
-        flush()
-        return "".join(out)
-
-    def digest(self, text: str) -> tuple[str, int, str]:
-        """(decimal ids joined by commas, number of ids, decoded text)."""
-        if not text:
-            return "", 0, ""
-        if not self.chunked or "\0" in text:
-            ids = self.sp.encode(text)
-            return ",".join(map(str, ids)), len(ids), self.sp.decode(ids)
-        get, learn = self.cache.get, self._learn
-        got = [get(c) or learn(c) for c in self.chunks(text)]
-        back = "".join([g[2] for g in got])
-        return ",".join([g[0] for g in got]), sum([g[1] for g in got]), back[1:] if back[:1] == " " else back
-
     def normalise(self, text: str) -> tuple[bytes, list[int]]:
         """Normalised UTF-8 and, for each of its bytes and its end, the source byte it came from."""
         data = text.encode()
         out, at, i = bytearray(), [], 0
         mark = MARK.encode() if self.escape else b" "
 
-        def add(piece: bytes, src: int) -> None:
-            for b in piece:
+        def add(piece: bytes, src: int, step: int = 0) -> None:
+            for j, b in enumerate(piece):
                 if b == 0x20:
                     out.extend(mark)
                     at.extend([src] * len(mark))
                 else:
                     out.append(b)
-                    at.append(src)
+                    at.append(src + j * step)
 
         def unit(i: int) -> tuple[int, bytes]:
             if m := self.chars.longest(data, i):
@@ -170,36 +128,68 @@ class Codec:
         spaced = self.squeeze
         while i < len(data):
             n, new = unit(i)
+            same = new == data[i : i + n]  # a character that stays keeps its bytes' places
             if self.squeeze:
                 while spaced and new[:1] == b" ":
                     new = new[1:]
                 spaced = new[-1:] == b" " if new else spaced
-            add(new, i)
+            add(new, i, int(same))
             i += n
         if self.squeeze:
             while out.endswith(mark):
                 del out[-len(mark) :], at[-len(mark) :]
         return bytes(out), [*at, len(data)]
 
-    def encode(self, text: str) -> list[tuple[int, int, int]]:
-        """(id, begin, end) for each piece: the span of original UTF-8 bytes, end exclusive.
+    def alignment(self, text: str) -> np.ndarray:
+        """For each byte of the normalised text and its end, the source byte it came from."""
+        if not self.simple:
+            return np.array(self.normalise(text)[1], np.int64)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        at = np.repeat(np.arange(len(raw) + 1), np.where(np.append(raw, 0) == 0x20, 3, 1))
+        return np.concatenate([np.zeros(3 if len(raw) else 0, np.int64), at])
+
+    def spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of each piece in the bytes of ``text``.
 
         The dummy prefix belongs to no source byte, so its piece begins where the text does.
         """
+        at, width = self.alignment(text), self.width[ids]
+        if self.unknown in ids:  # one stands for a run of characters without a piece, which ends where the next piece fits
+            norm, k = self.normalise(text)[0], 0
+            for j, i in enumerate(ids):
+                if i == self.unknown:
+                    width[j] = self._unknown_width(norm, k, ids[j + 1 :])
+                k += int(width[j])
+        end = np.cumsum(width)
+        return at[end - width], at[np.minimum(end, len(at) - 1)]
+
+    def _unknown_width(self, norm: bytes, k: int, rest: list[int]) -> int:
+        """Bytes of the unknown run at ``k``: up to where the known pieces that follow it stand."""
+        known = b""
+        for i in rest:
+            if i == self.unknown:
+                break
+            known += self.sp.id_to_piece(i).encode()
+        n = 1
+        while k + n < len(norm) and (norm[k + n] & 0xC0 == 0x80 or not (norm.startswith(known, k + n) if known else False)):
+            n += 1
+        return n
+
+    def encode(self, text: str) -> list[tuple[int, int, int]]:
+        """(id, begin, end) for each piece: the span of original UTF-8 bytes, end exclusive."""
         if not text:
             return []
-        norm, at = self.normalise(text)
-        ids = [int(x) for x in self.digest(text)[0].split(",")]
-        out, k = [], 0
-        for i in ids:
-            n = 1 if i in self.byte else len(self.pieces[i].encode())
-            if i == self.sp.unk_id():  # one run of unknown characters
-                n = 1
-                while k + n < len(norm) and norm[k + n] & 0xC0 == 0x80:
-                    n += 1
-            out.append((i, at[k], at[min(k + n, len(norm))]))
-            k += n
-        return out
+        ids = self.ids(text)
+        begin, end = self.spans(text, ids)
+        return list(zip(ids, begin.tolist(), end.tolist()))
+
+    def digest(self, text: str) -> tuple[str, int, str, bytes]:
+        """(decimal ids joined by commas, number of ids, decoded text, begins and ends as little-endian 64-bit pairs)."""
+        if not text:
+            return "", 0, "", b""
+        ids = self.ids(text)
+        spans = np.stack(self.spans(text, ids), 1).astype("<i8").tobytes()
+        return ",".join([self.decimal[i] for i in ids]), len(ids), self.sp.decode(ids), spans
 
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -224,25 +214,29 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``docs`` without the text, with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``.
+    """``docs`` without the text, with ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and ``spans_sha256``.
 
+    The last is the digest of each piece's begin and end in the text's UTF-8 bytes, as little-endian 64-bit pairs.
     Null counts as empty: no ids, the digests of the empty string.  Repeated rows stay; clashing columns are replaced.
+    Texts of any length are encoded whole, those over a million characters in parts that give the same ids; there is
+    nothing to tie.  One narrow pass.
     """
-    new = ("n_tokens", "ids_sha256", "decoded_sha256")
+    new = ("n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256")
     keep = [c for c in docs.columns if c not in (*new, text)]
     kind = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kind[c]}" for c in keep), "n_tokens long, ids_sha256 string, decoded_sha256 string"])
+    schema = ", ".join([*(f"`{c}` {kind[c]}" for c in keep), "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path)
-        sha = hashlib.sha256
+        sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
-            n, ids, back = [], [], []
+            n, ids, back, spans = [], [], [], []
             for t in b.column(b.num_columns - 1):
-                i, k, d = codec.digest(t.as_py() or "")
+                i, k, d, s = codec.digest(t.as_py() or "")
                 n.append(k)
-                ids.append(sha(i.encode()).hexdigest())
-                back.append(sha(d.encode()).hexdigest())
-            yield pa.record_batch([*(b.column(k) for k in range(len(keep))), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], [*keep, *new])
+                ids.append(sha(i.encode()))
+                back.append(sha(d.encode()))
+                spans.append(sha(s))
+            yield pa.record_batch([*(b.column(k) for k in range(len(keep))), pa.array(n, pa.int64()), *(pa.array(c, pa.string()) for c in (ids, back, spans))], [*keep, *new])
 
     return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)

@@ -6,8 +6,6 @@ pre-tokeniser is sure to cut too, so a very long text costs no more memory than
 
 from __future__ import annotations
 
-import base64
-import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -20,8 +18,6 @@ from docloom.llm.common import env_single_thread
 
 #: A letter followed by one space and a letter: byte-level pre-tokenisers always cut before that space.
 _SAFE = re.compile(r"(?<=[a-zA-Z]) (?=[a-zA-Z])")
-#: Scripts on which the two engines' Unicode tables can't differ.
-_PLAIN = re.compile(r"[\x09\x0a\x0d\x20-\x7e¡-ſ‐-‧]*\Z")
 
 
 def safe_pieces(text: str, piece_bytes: int, special: tuple[str, ...] = ()) -> list[str]:
@@ -48,9 +44,6 @@ def counter(path: str, piece_bytes: int = 1 << 16) -> Callable[[list[str]], list
     """A function from texts to token counts for a vocabulary file: ``.json`` as the tokenizers library counts,
     ``.model`` as sentencepiece does.  Added special tokens are left out; special strings inside a text are
     treated as the library does by default.
-
-    If a byte-level ``.json`` has the same vocabulary beside it as ``.tiktoken`` ranks, texts in plain Latin script
-    go through that faster encoder, which gives the same ids there; all other texts go through the library itself.
     """
     env_single_thread()
     if path.endswith(".model"):
@@ -62,30 +55,17 @@ def counter(path: str, piece_bytes: int = 1 << 16) -> Callable[[list[str]], list
 
     tok = Tokenizer.from_file(path)
     special = tuple(t.content for t in tok.get_added_tokens_decoder().values())
-    ranks_file = path[: -len(".json")] + ".tiktoken"
     byte_level = "ByteLevel" in repr(tok.pre_tokenizer) and tok.normalizer is None
-    fast = None
-    if byte_level and os.path.exists(ranks_file):
-        import public_tokenizers
-        import tiktoken
-
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_file, "rb"))}
-        fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def slow(texts: list[str]) -> list[int]:
-        return [len(x.ids) for x in tok.encode_batch(texts, add_special_tokens=False)] if texts else []
 
     def count(texts: list[str]) -> list[int]:
-        out, rest, where = [0] * len(texts), [], []
+        out, pieces, where = [0] * len(texts), [], []
         for i, t in enumerate(texts):
             for piece in safe_pieces(t, piece_bytes, special) if byte_level else [t]:
-                if fast is not None and _PLAIN.match(piece) and not any(s in piece for s in special):
-                    out[i] += len(fast.encode_ordinary(piece))
-                else:
-                    rest.append(piece)
-                    where.append(i)
-        for i, n in zip(where, slow(rest)):
-            out[i] += n
+                pieces.append(piece)
+                where.append(i)
+        # the batch call without offsets: only lengths are wanted
+        for i, x in zip(where, tok.encode_batch_fast(pieces, add_special_tokens=False) if pieces else []):
+            out[i] += len(x)
         return out
 
     return count
@@ -106,7 +86,9 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = 51
     """``docs`` with ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (n_tokens > limit) for each row.
 
     Null and empty texts have 0 bytes and 0 tokens.  Rows stay as they are, repeated ones too; columns of ``docs``
-    with those three names are replaced.  One narrow pass over the table: no shuffle, no collect.
+    with those three names are replaced.  Very long texts are cut where the count can't change; one without a letter,
+    space, letter (a single huge word) is counted whole, so a worker must hold the largest such text.  There is nothing
+    to tie.  One narrow pass over the table: no shuffle, no collect.
     """
     new = ("n_bytes", "n_tokens", "over_limit")
     keep = [c for c in docs.columns if c not in (*new, text)]
