@@ -38,13 +38,74 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dirs[app]
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/docloom/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def materialise(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and lost executors
-    cost a re-read instead of a recomputation."""
+    cost a re-read instead of a recomputation.
+
+    ``instead_of``, a table made by this function that nothing reads any more once ``df`` is written, is deleted.
+    Whatever else an application leaves goes with ``clean_up`` or when its driver ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._docloom_path = path
+    if instead_of is not None:
+        discard(instead_of)
+    if not _at_exit:
+        _at_exit.append(True)
+        atexit.register(_clean_at_exit)
+    return out
+
+
+_at_exit: list[bool] = []
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table made by ``materialise``; other frames are left alone."""
+    if path := getattr(df, "_docloom_path", None):
+        _delete(df.sparkSession, path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all tables and models this application has left in the shared folder."""
+    _delete(spark, _folder(spark))
+
+
+def _clean_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        clean_up(spark)
+
+
+def stored(spark: SparkSession, name: str, make: Callable[[], bytes]) -> bytes:
+    """What ``make`` gives, made once: kept as a one-row table in the application's part of the shared folder."""
+    path = f"{_folder(spark)}/models/{name}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        spark.createDataFrame([(make(),)], "model binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return bytes(spark.read.parquet(path).first().model)
+
+
+def bounded_rows(df: DataFrame, key: str, rows: int, max_bytes: int) -> list[tuple]:
+    """The rows of ``df`` with the smallest values of ``key``, at most ``rows`` of them and together of at most
+    ``max_bytes`` by the column ``size``; a row that doesn't fit any more is passed over.  Only ``rows`` short rows
+    come to the driver."""
+    out, total = [], 0
+    for r in df.orderBy(key, "size").limit(rows).toLocalIterator():
+        if total + r["size"] <= max_bytes:
+            out.append(r)
+            total += r["size"]
+    return out
 
 
 def total_bytes(df: DataFrame, text: str = "text") -> int:
@@ -196,7 +257,7 @@ def components(edges: DataFrame, small: int = 2_000_000) -> DataFrame:
     spark = edges.sparkSession
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     e = materialise(e, "edges")
-    n = e.count()
+    n = e.count()  # counted on the written table
     if n <= small:
 
         def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +267,7 @@ def components(edges: DataFrame, small: int = 2_000_000) -> DataFrame:
                 yield pa.record_batch([pa.array(node), pa.array(comp)], ["node", "component"])
 
         return e.coalesce(1).mapInArrow(one, "node long, component long")
-    before = None
+    before, last = None, e
     while True:
         # large star: every node's larger neighbours are linked to the smallest of its neighbourhood
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -216,7 +277,7 @@ def components(edges: DataFrame, small: int = 2_000_000) -> DataFrame:
         low = e.groupBy("a").agg(F.min("b").alias("m"))
         e = e.join(low, "a")
         e = e.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        e = materialise(e, "stars")
+        e = last = materialise(e, "stars", last)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -231,22 +292,27 @@ def crc_mod(df_col: str, m: int):
     return F.crc32(F.col(df_col).cast("string").cast("binary")) % m
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, bound: int):
-    """At most ``bound`` labelled documents to learn from, as (texts, labels, langs) on the driver.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, bound: int, max_bytes: int = 64 << 20):
+    """At most ``bound`` labelled documents, of at most ``max_bytes`` of text, to learn from: (texts, labels, langs) on the driver.
 
     Only rows whose crc32(doc_id as text) mod ``modulus`` isn't ``held_out`` are looked at.  The sample is the
-    ``bound`` rows of smallest hash, so it is the same at every run; its size is bounded, hence the broadcast.
+    rows of smallest hash, so it is the same at every run; its size is bounded, hence the broadcast.
     """
     pick = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
         .groupBy("doc_id")
         .agg(F.max(label).cast("int").alias("_y"))
         .where(crc_mod("doc_id", modulus) != held_out)
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .select("_y", F.xxhash64("doc_id").alias("_h"))
+        .orderBy("_h")
         .limit(bound)
     )
-    cols = [F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")]
-    got = docs.select(*cols).join(F.broadcast(pick), "doc_id").toArrow().sort_by("doc_id")
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    mine = docs.select(F.xxhash64("doc_id").alias("_h"), F.coalesce(F.col("text"), F.lit("")).alias("text"), lang.alias("lang"))
+    sized = mine.select("_h", F.octet_length("text").alias("size")).join(F.broadcast(pick), "_h")
+    chosen = [(r["_h"], r["_y"]) for r in bounded_rows(sized, "_h", bound, max_bytes)]
+    got = mine.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "_h long, _y int").dropDuplicates(["_h"])), "_h").dropDuplicates(["_h"])
+    got = got.toArrow().sort_by("_h")
     return got["text"].to_pylist(), np.array(got["_y"].to_pylist(), float), got["lang"].to_pylist()
 
 
