@@ -2,19 +2,21 @@
 
 Per document, in one narrow pass:
 
-1. two-word grams that occur in any item are looked up; by the count filter a window within k edits of an item of
-   L words shares at least L - 1 - 2k of its grams on neighbouring diagonals, so fewer hits rule a place out exactly;
-2. the item-sized windows at the places left, and the items, go through CGK random walks, which turn edit distance
+1. the windows that start at each of its words, and the items, go through CGK random walks, which turn edit distance
    into Hamming distance: at each step a walk emits its current word and moves on or stays by a random bit of
-   (walk, step, word);
-3. bit-sampling LSH over the walks' outputs proposes window and item where any sampled set of steps agrees;
-4. each proposal is verified by exact semi-global edit distance over the place and its surroundings.
+   (walk, step, word).  A window is as long as an item; an item of 32 words or more is walked in pieces of 16 to 31
+   words, one of which has at most its share of the edits;
+2. bit-sampling LSH over the walks' outputs proposes window and item where all of a band's sampled steps agree.  The
+   number of walks is the least that reaches the target recall in a simulation with as many edits as are allowed;
+3. each proposal is verified by exact semi-global edit distance over the window's place and its surroundings.
+
+Items of fewer than ``SHORT`` words, which leave the walks too few steps, are looked up exactly, as word sequences.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,61 +25,218 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import ALNUM, U64, grams, mix64, slices, word_hashes, word_spans
 
-WALKS, BANDS, SAMPLED = 8, 8, 3
+SHORT = 8  # words from which on items are walked
+BANDS, SAMPLED = 8, 3  # bands of a walk, steps of a band
+CLASSES = ((8, 12), (16, 24))  # least words of a piece, steps of its walks
+TOP = 22  # log2 of a table's flags
+DRIFT = 8  # words a walk may be from where its step would be on average
+
+
+@dataclass
+class Keys:
+    """The band keys of the pieces of one size class, sorted, with the piece that each belongs to."""
+
+    steps: np.ndarray  # walk x band x SAMPLED
+    key: np.ndarray
+    piece: np.ndarray
+    flags: np.ndarray  # by the top bits of a key
 
 
 @dataclass
 class Index:
-    """The items of one block: words, grams and walks (a few hundred bytes per item word)."""
+    """The items of one block: words, and the keys of their pieces (about 25 bytes per byte of item text)."""
 
     ids: np.ndarray
     words: list[np.ndarray]
     edits: np.ndarray
-    gram: np.ndarray  # sorted
-    gram_item: np.ndarray
-    gram_at: np.ndarray
-    table: np.ndarray  # bit per top bits of a gram
-    walk: np.ndarray  # item x walk x step
-    sample: np.ndarray  # item x band x SAMPLED steps
-
-    TOP = 22
-
-
-def _walks(words: np.ndarray, start: np.ndarray, end: np.ndarray, steps: int) -> np.ndarray:
-    """Outputs of all walks over the windows words[start:end], 0 past a window's end: window x walk x step."""
-    out = np.zeros((len(start), WALKS, steps), U64)
-    at = np.repeat(start[:, None], WALKS, 1)
-    stop = end[:, None]
-    salt = mix64(np.arange(WALKS, dtype=U64), 77)
-    padded = np.append(words, U64(0))
+    vocabulary: np.ndarray  # sorted hashes of all words of walked items; a word's number is its place, from 1 on
+    flags: np.ndarray
+    piece_item: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    piece_at: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    classes: list[Keys] = field(default_factory=list)
+    exact: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # words -> sorted sequence hashes, items, flags
+
+    def __post_init__(self) -> None:
+        self.size = np.array([len(x) for x in self.words])
+        item = np.repeat(np.arange(len(self.words)), self.size)
+        bits = max(16, min(26, (16 * len(item)).bit_length()))
+        self.shift = U64(64 - bits)
+        self.member = np.zeros(1 << bits, bool)
+        self.member[self._member(item, self.numbers(np.concatenate(self.words)))] = True
+
+    def numbers(self, w: np.ndarray) -> np.ndarray:
+        """Each word's number in the vocabulary, 0 for a word of no walked item."""
+        out = np.zeros(len(w), np.int32)
+        if len(self.vocabulary):
+            some = np.flatnonzero(self.flags[(w >> U64(64 - TOP)).astype(np.int64)])
+            place = np.minimum(np.searchsorted(self.vocabulary, w[some]), len(self.vocabulary) - 1)
+            out[some] = np.where(self.vocabulary[place] == w[some], place + 1, 0)
+        return out
+
+    def _member(self, item: np.ndarray, number: np.ndarray) -> np.ndarray:
+        return (mix64(item.astype(U64) << U64(32) | number.astype(U64), 3) >> self.shift).astype(np.int64)
+
+    def own_words(self, number: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, chunk: int = 1 << 14) -> np.ndarray:
+        """For each place, how many of its words belong to its item (by hash, so rarely a few too many)."""
+        out = np.zeros(len(item), np.int64)
+        known = np.r_[0, np.cumsum(number > 0)]
+        some = np.flatnonzero(known[hi] - known[lo] >= self.size[item] - self.edits[item])
+        for a in range(0, len(some), chunk):
+            k = some[a : a + chunk]
+            n = hi[k] - lo[k]
+            end = np.cumsum(n)
+            v = number[np.repeat(lo[k] - end + n, n) + np.arange(end[-1])]
+            hit = self.member[self._member(np.repeat(item[k], n), v)] & (v > 0)
+            total = np.r_[0, np.cumsum(hit)]
+            out[k] = total[end] - total[end - n]
+        return out
+
+
+def _walk(words: np.ndarray, number: np.ndarray, start: np.ndarray, steps: int, walk: int) -> Iterator[np.ndarray]:
+    """The word number that the walk emits at each step, for windows that start at ``start``; 0 for a word of no item
+    and past the end."""
+    n = len(words)
+    bits = (mix64(words, 1000 + walk) >> U64(9)).astype(np.uint32)  # one for each step
+    at = start.astype(np.int32)
+    here = np.append(number, np.int32(0))
+    idx = np.arange(n + 1, dtype=np.int32)
     for j in range(steps):
-        w = np.where(at < stop, padded[np.minimum(at, len(words))], U64(0))
-        out[:, :, j] = w
-        at = at + ((mix64(w ^ salt, j) >> U64(17)) & U64(1)).astype(np.int64)
-    return out
+        yield here[at]
+        move = idx.copy()
+        move[:n] += ((bits >> np.uint32(j % 31)) & np.uint32(1)).astype(np.int32)
+        at = move[at]
+
+
+def _band_keys(words: np.ndarray, number: np.ndarray, start: np.ndarray, steps: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(band over all walks, windows, keys) for the bands whose sampled words all belong to items."""
+    with np.errstate(over="ignore"):
+        for r in range(len(steps)):
+            out = list(_walk(words, number, start, length, r))
+            for b, band in enumerate(steps[r]):
+                ok = np.flatnonzero((out[band[0]] > 0) & (out[band[1]] > 0) & (out[band[2]] > 0))
+                key = np.full(len(ok), U64(r * BANDS + b + 1))
+                for j in band:
+                    key = key * U64(0x9FB21C651E98DF25) + out[j][ok].astype(U64)
+                yield r * BANDS + b, ok, mix64(key, 9)
+
+
+def _sampled(walks: int, length: int, seed: int = 20) -> np.ndarray:
+    rng = np.random.default_rng([seed, length])
+    return np.stack([np.stack([np.sort(rng.choice(length, SAMPLED, replace=False)) for _ in range(BANDS)]) for _ in range(walks)])
+
+
+def simulated_recall(size: int, edits: int, length: int, walks: int, trials: int = 300, seed: int = 5) -> float:
+    """Share of random pieces of ``size`` words that LSH still proposes after ``edits`` random word edits."""
+    rng = np.random.default_rng([seed, size, edits])
+    fresh = lambda n: rng.integers(1, 1 << 62, n).astype(U64)
+    steps, found = _sampled(walks, length), 0
+    for _ in range(trials):
+        item = fresh(size)
+        w = list(item)
+        for _ in range(edits):
+            at, kind = int(rng.integers(len(w))), int(rng.integers(3))
+            w[at : at + (kind < 2)] = fresh(1).tolist() if kind != 1 else []
+        text = np.concatenate([fresh(3), np.array(w, U64), fresh(size)])
+        voc = np.unique(np.concatenate([item, text]))
+        num = lambda x: (np.searchsorted(voc, x) + 1).astype(np.int32)
+        mine = {k: set(v.tolist()) for k, _, v in _band_keys(item, num(item), np.zeros(1, np.int64), steps, length)}
+        found += any(not mine[k].isdisjoint(v.tolist()) for k, _, v in _band_keys(text, num(text), np.arange(len(text)), steps, length))
+    return found / trials
+
+
+_walks_for: dict[tuple[float, float], list[int]] = {}
 
 
-def build_index(items: list[tuple[int, str]], max_edit: float, min_words: int) -> Index | None:
+def walks_for(target: float, max_edit: float) -> list[int]:
+    """The least number of walks, for each size class, that reaches the target recall at the most edits allowed."""
+    if (target, max_edit) not in _walks_for:
+        out = []
+        for least, length in CLASSES:
+            r = 2
+            while r < 16 and min(simulated_recall(n, int(max_edit * n), length, r) for n in (least, 2 * least - 1)) < target:
+                r += 1
+            out.append(r)
+        _walks_for[target, max_edit] = out
+    return _walks_for[target, max_edit]
+
+
+def build_index(items: list[tuple[int, str]], max_edit: float, target: float = 0.97) -> Index | None:
     ids, words = [], []
     for i, text in items:
         raw = np.frombuffer((text or "").encode(), np.uint8)
         s, e, _ = word_spans(raw, np.array([0, len(raw)]), ALNUM)
-        if len(s) >= max(min_words, 2):
+        if len(s):
             ids.append(i)
             words.append(word_hashes(raw, s, e, lower=True))
     if not ids:
         return None
-    g = [grams(w, 2) for w in words]
-    gram = np.concatenate(g)
-    o = np.argsort(gram, kind="stable")
-    table = np.zeros(1 << Index.TOP, bool)
-    table[(gram >> U64(64 - Index.TOP)).astype(np.int64)] = True
     size = np.array([len(w) for w in words])
-    steps = 2 * int(size.max())
+    long = size >= SHORT
+    voc = np.unique(np.concatenate([words[i] for i in np.flatnonzero(long)])) if long.any() else np.zeros(0, U64)
+    ix = Index(np.array(ids), words, np.where(long, np.floor(max_edit * size + 1e-9), 0).astype(int), voc, _flags(voc))
+    for n in np.unique(size[~long]).tolist():
+        own = np.flatnonzero(size == n)
+        h = np.array([grams(words[i], n)[0] for i in own], U64)
+        o = np.argsort(h, kind="stable")
+        ix.exact[n] = (h[o], own[o], _flags(h))
+    if not long.any():
+        return ix
+    start, item, at, length = [], [], [], []
     flat, off = np.concatenate(words), np.r_[0, np.cumsum(size)]
-    rng = np.random.default_rng(20)
-    sample = np.stack([rng.integers(0, max(2, int(1.5 * n)), (WALKS * BANDS, SAMPLED)) for n in size])
-    return Index(np.array(ids), words, np.floor(max_edit * size + 1e-9).astype(int), gram[o], np.repeat(np.arange(len(g)), size - 1)[o], np.concatenate([np.arange(n - 1) for n in size])[o], table, _walks(flat, off[:-1], off[1:], steps), sample)
+    for i in np.flatnonzero(long):
+        n = max(1, int(size[i]) // 16)
+        cut = np.arange(n) * int(size[i]) // n
+        start.append(off[i] + cut)
+        item.append(np.full(n, i))
+        at.append(cut)
+        length.append(np.diff(np.r_[cut, size[i]]))
+    start, ix.piece_item, ix.piece_at, length = (np.concatenate(x) for x in (start, item, at, length))
+    number = ix.numbers(flat)
+    for c, ((least, steps), walks) in enumerate(zip(CLASSES, walks_for(target, max_edit))):
+        most = CLASSES[c + 1][0] if c + 1 < len(CLASSES) else 1 << 30
+        own = np.flatnonzero((length >= least) & (length < most))
+        if not len(own):
+            continue
+        s = _sampled(walks, steps)
+        keys, pieces = [], []
+        # a walk may run past the end of its piece into what follows it there; an item's end is a wall
+        ends = off[ix.piece_item[own] + 1]
+        for k in range(0, len(own), 1 << 14):
+            got, mine = _item_keys(flat, number, start[own[k : k + (1 << 14)]], ends[k : k + (1 << 14)], s, steps)
+            keys.append(got)
+            pieces.append(own[k : k + (1 << 14)][mine])
+        key, piece = np.concatenate(keys), np.concatenate(pieces)
+        o = np.argsort(key, kind="stable")
+        ix.classes.append(Keys(s, key[o], piece[o], _flags(key)))
+    return ix
+
+
+def _item_keys(flat: np.ndarray, number: np.ndarray, start: np.ndarray, end: np.ndarray, steps: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys of pieces of items laid out one after the other, each walled off from the next."""
+    width = np.minimum(end - start, length)
+    at = np.repeat(start, width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+    base = np.cumsum(width + 1) - (width + 1)  # a word of no item stands between two pieces
+    into = np.repeat(base, width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+    w, n = np.zeros(int((width + 1).sum()), U64), np.zeros(int((width + 1).sum()), np.int32)
+    w[into], n[into] = flat[at], number[at]
+    got = [(ok, key) for _, ok, key in _band_keys(w, n, base, steps, length)]
+    # what a walk emits behind the wall belongs to the next piece: such bands only propose more, and are verified
+    return np.concatenate([k for _, k in got]), np.concatenate([o for o, _ in got])
+
+
+def _flags(key: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << TOP, bool)
+    out[(key >> U64(64 - TOP)).astype(np.int64)] = True
+    return out
+
+
+def _lookup(table: np.ndarray, flags: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in h, place in the sorted table) for all equal pairs."""
+    hit = np.flatnonzero(flags[(h >> U64(64 - TOP)).astype(np.int64)])
+    lo, hi = np.searchsorted(table, h[hit], "left"), np.searchsorted(table, h[hit], "right")
+    n = hi - lo
+    hit, lo, n = hit[n > 0], lo[n > 0], n[n > 0]
+    return np.repeat(hit, n), np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def edit_distance_in(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -99,73 +258,66 @@ def edit_distance_in(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]
     return int(row[end]), int(frm[end]), end
 
 
+def proposals(ix: Index, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, first word of the window, word where the item would start) for each window that agrees with a piece of
+    an item in any band."""
+    piece, start = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if ix.classes and len(w):
+        number = ix.numbers(w)
+        every = np.arange(len(w), dtype=np.int32)
+        for c in ix.classes:
+            for _, ok, key in _band_keys(w, number, every, c.steps, int(c.steps.max()) + 1):
+                at, k = _lookup(c.key, c.flags, key)
+                piece.append(c.piece[k])
+                start.append(ok[at])
+    both = np.unique(np.concatenate(piece) << 32 | np.concatenate(start))
+    piece, start = both >> 32, both & ((1 << 32) - 1)
+    return ix.piece_item[piece], start, start - ix.piece_at[piece]
+
+
 def matches_in(ix: Index, buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, edits, first word, end word) for each text and item that match, at the best place."""
     start, end, first = word_spans(buf, off, ALNUM)
     w = word_hashes(buf, start, end, lower=True)
-    g = grams(w, 2)
-    if not len(g):
+    if not len(w):
         return
     text = np.repeat(np.arange(len(off) - 1), np.diff(first))
-    hit = np.flatnonzero(ix.table[(g >> U64(64 - Index.TOP)).astype(np.int64)] & (text[:-1] == text[1:]))
-    lo, hi = np.searchsorted(ix.gram, g[hit], "left"), np.searchsorted(ix.gram, g[hit], "right")
-    n = hi - lo
-    hit, lo, n = hit[n > 0], lo[n > 0], n[n > 0]
-    at = np.repeat(hit, n)
-    e = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    item, inner = ix.gram_item[e], ix.gram_at[e]
-    diag = at - inner
-    size = np.array([len(x) for x in ix.words])
-    need = np.maximum(1, size - 1 - 2 * ix.edits)
-    o = np.lexsort((inner, diag, item, text[at]))
-    at, item, inner, diag = at[o], item[o], inner[o], diag[o]
-    t = text[at]
-    # hits of one text and item whose diagonals are neighbours (gap at most the item's edits) stand for one place
-    new = np.r_[True, (t[1:] != t[:-1]) | (item[1:] != item[:-1]) | (diag[1:] - diag[:-1] > ix.edits[item[1:]])] if len(t) else np.zeros(0, bool)
-    lead = np.flatnonzero(new)
-    stop = np.r_[lead[1:], len(t)]
-    many = np.flatnonzero(stop - lead >= need[item[lead]])
-    win_s, win_i, win_p, place = [], [], [], []
-    for p in many:
-        a, b = lead[p], stop[p]
-        i = int(item[a])
-        if len(np.unique(inner[a:b])) < need[i]:
-            continue
-        lo_w, hi_w = int(first[t[a]]), int(first[t[a] + 1])
-        d = np.unique(np.clip(diag[a:b], lo_w, max(lo_w, hi_w - 1)))
-        k = len(place)
-        place.append((int(t[a]), i, lo_w, hi_w, int(d[0]), int(d[-1])))
-        win_s.append(d)
-        win_i.append(np.full(len(d), i))
-        win_p.append(np.full(len(d), k))
-    if not place:
-        return
-    s, i, p = np.concatenate(win_s), np.concatenate(win_i), np.concatenate(win_p)
-    top = np.array([x[3] for x in place])[p]
-    near = np.zeros(len(place), bool)
-    for a in range(0, len(s), 256):
-        c = slice(a, a + 256)
-        got = _walks(w, s[c], np.minimum(s[c] + size[i[c]], top[c]), 2 * int(size[i[c]].max()))
-        walk = np.repeat(np.arange(WALKS), BANDS)[None, :, None]
-        step = np.minimum(ix.sample[i[c]], got.shape[2] - 1)
-        mine = got[np.arange(len(got))[:, None, None], walk, step]
-        theirs = ix.walk[i[c][:, None, None], walk, step]
-        ok = ((mine == theirs) & (mine != 0)).all(2).any(1)
-        near[p[c][ok]] = True
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for k in np.flatnonzero(near):
-        tt, i, lo_w, hi_w, d0, d1 = place[k]
-        a, b = max(lo_w, d0 - int(ix.edits[i])), min(hi_w, d1 + int(size[i]) + int(ix.edits[i]))
-        d, x, y = edit_distance_in(ix.words[i], w[a:b])
-        if d <= ix.edits[i]:
-            found = (d, a + x - lo_w, a + y - lo_w)
-            best[tt, i] = min(best.get((tt, i), found), found)
+
+    def note(t: int, i: int, found: tuple[int, int, int]) -> None:
+        best[t, i] = min(best.get((t, i), found), found)
+
+    for n, (h, own, flags) in ix.exact.items():
+        at, k = _lookup(h, flags, grams(w, n))
+        for p, i in zip(at.tolist(), own[k].tolist()):
+            t = int(text[p])
+            if text[p + n - 1] == t and (w[p : p + n] == ix.words[i]).all():
+                note(t, i, (0, p - int(first[t]), p + n - int(first[t])))
+    item, window, at = proposals(ix, w)
+    if len(item):
+        # proposals of one text and item that stand near each other are one place
+        t = text[window]
+        o = np.lexsort((at, t, item))
+        item, t, at = item[o], t[o], at[o]
+        lead = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (t[1:] != t[:-1]) | (at[1:] - at[:-1] > ix.edits[item[1:]] + DRIFT)])
+        last = np.r_[lead[1:], len(item)] - 1
+        item, t, reach = item[lead], t[lead], ix.edits[item[lead]] + DRIFT
+        lo = np.maximum(at[lead] - reach, first[t])
+        hi = np.minimum(at[last] + ix.size[item] + reach, first[t + 1])
+        # every edit spoils at most one word of the item, so enough of the words here must be its own
+        own = ix.own_words(ix.numbers(w), item, lo, hi)
+        for k in np.flatnonzero(own >= ix.size[item] - ix.edits[item]).tolist():
+            i = int(item[k])
+            d, x, y = edit_distance_in(ix.words[i], w[lo[k] : hi[k]])
+            if d <= ix.edits[i]:
+                base = int(lo[k] - first[t[k]])
+                note(int(t[k]), i, (d, base + x, base + y))
     for (tt, i), (d, x, y) in sorted(best.items()):
         yield tt, i, d, x, y
 
 
 def _blocks(benchmark: DataFrame, max_bytes: int) -> list[list[tuple[int, str]]]:
-    """The items in blocks of at most ``max_bytes`` of text, each small enough to broadcast; one block at a time is on the driver."""
+    """The items in blocks of about ``max_bytes`` of text, each small enough to broadcast; one block at a time is on the driver."""
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // max_bytes))
@@ -173,19 +325,21 @@ def _blocks(benchmark: DataFrame, max_bytes: int) -> list[list[tuple[int, str]]]
         yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).orderBy("item_id").toLocalIterator()]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.25, min_words: int = 8, block_bytes: int = 4 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.25, target: float = 0.97, block_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, item_id, n_edits, item_words, start_word, end_word) for every document and item that match.
 
     Words are runs of ASCII letters and digits and non-ASCII characters, in lower case.  A document matches an item of
     L words if some part of it is within floor(max_edit * L) word edits; the best part is given (fewest edits, then
-    smallest start), in word positions, end exclusive.  Items of fewer than ``min_words`` words, null items and null
-    texts match nothing.  A null doc_id is kept as such; repeated rows give repeated matches.  Recall against brute
-    force is measured in the tests.
+    the earliest), in word positions, end exclusive.  Items of fewer than 8 words match exactly, at their first place;
+    null items, items without words and null texts match nothing.  A null doc_id is kept as such; repeated rows give
+    repeated matches.  Texts of any length are read whole.  ``target`` is the recall that the number of walks is chosen
+    for, at the most edits allowed; each match is verified.  A benchmark beyond ``block_bytes`` takes one pass over the
+    documents per block.
     """
     out, rows = None, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, n_edits int, item_words int, start_word int, end_word int"
     for block in _blocks(benchmark, block_bytes):
-        ix = docs.sparkSession.sparkContext.broadcast(build_index(block, max_edit, min_words))
+        ix = docs.sparkSession.sparkContext.broadcast(build_index(block, max_edit, target))
 
         def run(batches: Iterator[pa.RecordBatch], ix=ix) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -201,12 +355,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.25,
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.25, min_words: int = 8, block_bytes: int = 4 << 20) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.25, target: float = 0.97, block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of ``docs`` that match no item, all columns as they are: one narrow pass per block of items."""
     kind = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(f"`{c}` {k}" for c, k in kind.items())
     for block in _blocks(benchmark, block_bytes):
-        ix = docs.sparkSession.sparkContext.broadcast(build_index(block, max_edit, min_words))
+        ix = docs.sparkSession.sparkContext.broadcast(build_index(block, max_edit, target))
 
         def run(batches: Iterator[pa.RecordBatch], ix=ix) -> Iterator[pa.RecordBatch]:
             for b in batches:

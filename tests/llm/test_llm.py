@@ -666,6 +666,37 @@ def test_decontamination_recall_and_precision(spark, sf):
         assert decontam.edit_distance_in(item, hash_of(rows[n][1])[r.start_word : r.end_word])[0] == r.n_edits <= int(0.25 * len(item))
 
 
+@pytest.mark.parametrize("size,share", [(8, 0.25), (13, 0.25), (16, 0.25), (30, 0.25), (60, 0.25), (40, 0.1)])
+def test_recall_of_lsh_alone(size, share):
+    """The walks and bands alone, at the most edits allowed, before any verification."""
+    rng = random.Random(size)
+    voc = [f"v{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(voc) for _ in range(size))) for i in range(60)]
+    ix = decontam.build_index(items, share)
+    hit = 0
+    for i, t in items:
+        x = edited(rng, t.split(), int(share * size), voc)
+        text = " ".join([rng.choice(voc) for _ in range(40)] + x + [rng.choice(voc) for _ in range(40)])
+        raw = np.frombuffer(text.encode(), np.uint8)
+        w = word_hashes(raw, *word_spans(raw, np.array([0, len(raw)]), ALNUM)[:2], lower=True)
+        got, _, at = decontam.proposals(ix, w)
+        hit += bool(((got == i) & (abs(at - 40) <= int(share * size) + decontam.DRIFT)).any())
+    assert hit >= 0.9 * len(items)
+
+
+def test_number_of_walks_follows_the_target():
+    low, high = decontam.walks_for(0.8, 0.25), decontam.walks_for(0.99, 0.25)
+    assert all(a <= b for a, b in zip(low, high)) and low != high
+    assert decontam.simulated_recall(16, 4, 24, high[1]) >= 0.97 > decontam.simulated_recall(16, 4, 24, 1)
+
+
+def test_short_items_match_exactly(spark):
+    bench = spark.createDataFrame([(1, "alpha"), (2, "Beta gamma"), (3, "one two three four five six seven"), (4, "beta GAMMA")], "item_id long, text string")
+    rows = [(1, "x ALPHA."), (2, "beta, gamma beta gamma"), (3, "alphabet beta"), (4, "zero one two three four five six seven eight"), (5, "one two three four five six eight"), (6, "x beta"), (7, "gamma x")]
+    got = Counter((r.doc_id, r.item_id, r.n_edits, r.start_word, r.end_word) for r in decontam.contaminated(docs_frame(spark, rows), bench).collect())
+    assert got == Counter([(1, 1, 0, 1, 2), (2, 2, 0, 0, 2), (2, 4, 0, 0, 2), (4, 3, 0, 1, 8)])
+
+
 def test_decontamination_edges(spark):
     item = "one two three four five six seven eight nine ten"
     bench = spark.createDataFrame([(1, item), (2, "short"), (3, None), (None, item), (4, "")], "item_id long, text string")
