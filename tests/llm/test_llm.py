@@ -456,13 +456,62 @@ def test_strip_equals_brute_force(spark, k):
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in got.collect()) == Counter(brute_strip(rows, k))
 
 
+@pytest.mark.parametrize("least", [1, 3])
+def test_hot_minimisers_are_joined_back(spark, monkeypatch, least):
+    monkeypatch.setattr(substring, "HOT_LEAST", least)
+    rng = random.Random(5)
+    passage = " ".join("h%d" % i for i in range(40))
+    rows = [(i, " ".join([f"a{rng.randrange(50)}" for _ in range(rng.randrange(20))] + [passage] * (i % 4 < 2) + [f"b{i}"])) for i in range(40)]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in got.collect()) == Counter(brute_strip(rows, 13))
+
+
+def test_collisions_are_found_and_mended(spark, monkeypatch):
+    """Window hashes of a few bits: what the digests refuse is done again with cryptographic ones."""
+    real, asked = substring._window_hashes, []
+
+    def weak(w, s, k, raw):
+        asked.append(raw is not None)
+        h1, h2 = real(w, s, k, raw)
+        return (h1, h2) if raw is not None else (h1 & np.uint64(1), h2 & np.uint64(0))
+
+    import pyspark.cloudpickle as cp
+
+    cp.register_pickle_by_value(sys.modules[__name__])
+    monkeypatch.setattr(substring, "_window_hashes", weak)
+    cp.register_pickle_by_value(substring)
+    try:
+        texts = [" ".join("c%d" % (i % 3 * 100 + j) for j in range(30)) + f" e{i}" for i in range(9)] + ["x y z " * 8]
+        rows = list(enumerate(texts))
+        got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in got.collect()) == Counter(brute_strip(rows, 13))
+    finally:
+        cp.unregister_pickle_by_value(substring)
+        cp.unregister_pickle_by_value(sys.modules[__name__])
+
+
+def test_paths_end_at_branching_nodes(spark):
+    """Two passages that share their middle: the shared stretch is one path, and it ends where the passages part."""
+    pre1, mid, post1 = ([f"{c}{i}" for i in range(20)] for c in "pmq")
+    pre2, post2 = ([f"{c}{i}" for i in range(20)] for c in "rs")
+    one, two = " ".join(pre1 + mid + post1), " ".join(pre2 + mid + post2)
+    docs = spark.createDataFrame([(1, one), (2, two), (3, one), (4, two), (5, "alone " * 3)], "doc_id long, text string")
+    runs = docs.sparkSession.createDataFrame(substring.repeated_runs(docs).collect(), substring._PIECE)
+    got = {r.src_doc: r for r in substring.repeated_paths(docs, runs).collect()}
+    edges = lambda r: sorted((p.start, p.n) for p in r.paths)
+    # document 1 holds edges 0 .. 47; the nodes of 12 words inside the middle start at words 20 .. 28; at 20 a second edge comes in, at 28 a second one goes out
+    assert edges(got[1]) == [(0, 20), (20, 8), (28, 20)]
+    assert sum(n for _, n in edges(got[2])) == 48 - 8 and got.keys() == {1, 2}
+    assert [s.text for s in got[1].sources] == [one]
+
+
 def test_strip_edges(spark):
     assert substring.remove_repeats(docs_frame(spark, [(1, "a")]).limit(0)).count() == 0
     t = " ".join(map(str, range(20)))
     got = {r.doc_id: r for r in substring.remove_repeats(docs_frame(spark, [(1, t), (2, t), (3, None)]), digest=True).collect()}
     assert got[1].n_removed == 0 and got[2].n_removed == 20 and got[2].kept_sha256 == got[3].kept_sha256 == hashlib.sha256(b"").hexdigest()
     runs = substring.repeated_runs(docs_frame(spark, [(1, t), (2, "x " + t)])).collect()
-    assert sum(r.n for r in runs) == 8 and {(r.doc_id, r.src_doc, r.start - r.src_start) for r in runs} == {(2, 1, 1)}
+    assert [(r.doc_id, r.src_doc, r.start, r.n, r.src_start) for r in runs] == [(2, 1, 1, 8, 0)]
 
 
 # --- 6 and 10: tokenizers ----------------------------------------------------------------------
