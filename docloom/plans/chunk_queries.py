@@ -61,7 +61,7 @@ def _aware_sql(smart: bool) -> str:
     if smart:
         end = f"""CASE WHEN raw < n AND raw > lo AND best > start + {size // 2} THEN best ELSE raw END"""
     return f"""WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
-c AS (SELECT *, unnest(generate_series(0, least(100, n // {step} + 1) - 1)) AS i FROM d),
+c AS (SELECT *, unnest(generate_series(0, n // {step})) AS i FROM d),
 w AS (SELECT *, i * {step} AS start, least(i * {step} + {size}, n) AS raw FROM c WHERE i * {step} < n AND (i = 0 OR i * {step} - {step} + {size} < n)),
 x AS (SELECT *, greatest(raw - 200, start + {size // 2}) AS lo FROM w),
 r AS (SELECT *, substr(text, lo + 1, greatest(raw - lo, 0)) AS r FROM x),
@@ -94,7 +94,7 @@ def chunk_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM documents),
-c AS (SELECT doc_id, w, unnest(generate_series(0, least(10, CAST(ceil(len(w) / 150.0) AS INT)) - 1)) AS i FROM d WHERE len(w) > 0)
+c AS (SELECT doc_id, w, unnest(generate_series(0, CAST(ceil(len(w) / 150.0) AS INT) - 1)) AS i FROM d WHERE len(w) > 0)
 SELECT doc_id, CAST(i AS INTEGER) AS chunk_id, array_to_string(w[i * 150 + 1:i * 150 + 200], ' ') AS text FROM c""")
 def chunk_word_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.word_windows(_docs(spark, sf_dir))

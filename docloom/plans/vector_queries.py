@@ -99,8 +99,8 @@ def embed_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", LetterEmbedder().embed(F.col("text")).alias("embedding"))
 
 
-@query(f"""WITH t AS (SELECT vec_id AS doc_id, embedding AS q, vec_id % 3 = 0 AS has FROM embeddings), w AS (SELECT vec_id - 1 AS doc_id, embedding AS v FROM embeddings UNION ALL SELECT vec_id - 2, embedding FROM embeddings)
-SELECT t.doc_id, max(CASE WHEN v IS NOT NULL THEN greatest(0.0, least(1.0, round({DOT.format(a='q', b='v')}, 9))) END) >= 0.1 AS matches FROM t LEFT JOIN w ON w.doc_id = t.doc_id AND t.has GROUP BY t.doc_id""")
+@query(f"""WITH t AS (SELECT vec_id AS doc_id, embedding AS q FROM embeddings), w AS (SELECT vec_id - 1 AS doc_id, embedding AS v FROM embeddings UNION ALL SELECT vec_id - 2, embedding FROM embeddings)
+SELECT t.doc_id, max(CASE WHEN v IS NOT NULL THEN greatest(0.0, least(1.0, round({DOT.format(a='q', b='v')}, 9))) END) >= 0.1 AS matches FROM t LEFT JOIN w ON w.doc_id = t.doc_id GROUP BY t.doc_id""")
 def title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector as a title against the two after it as windows of its page; the last one's page has none."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
