@@ -37,10 +37,15 @@ def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-_CELL = squeeze_sql("replace(substr(text, 1, 12), '|', ' ')")
+_CELL = squeeze_sql("replace(text, '|', ' ')")
+_PLAIN = "l"
+for _from, _to in ((r"\*\*(.*?)\*\*", r"\1"), (r"\*(.*?)\*", r"\1"), (r"\[(.*?)\]\(.*?\)", r"\1"), (r"^#+\s*", ""), ("`([^`]*)`", r"\1")):
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_from}', '{_to}', 'g')"
+_BODY = f"array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: {trim_sql(_PLAIN)}), lambda l: l <> ''), chr(10))"
 
 
-@query(f"""SELECT conv_id * 1000 + turn AS doc_id, 'Head ' || role || chr(10) || 'key: ' || role || '; value: ' || {_CELL} || chr(10) || 'after *it*' || chr(10) || 'see link and code ' || role AS text FROM conversations""")
+@query(f"""SELECT conv_id * 1000 + turn AS doc_id, 'Head ' || role || chr(10) || 'key: ' || role || '; value: ' || {_CELL} || chr(10) || 'after *it*' || chr(10) || 'see link and code ' || role
+|| coalesce(chr(10) || nullif({_BODY}, ''), '') AS text FROM conversations""")
 def md_to_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.functions.text import squeeze
 
@@ -49,4 +54,4 @@ def md_to_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_plain(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), text.alias("text")))
 
 
-__all__ = ["trim_sql", "watch"]
+__all__ = ["watch"]
