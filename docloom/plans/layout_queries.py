@@ -17,21 +17,24 @@ from docloom.plans.catalog import W, query, squeeze_sql, table, trim_sql
 re2 = lambda p: p.replace("(?iu)", "(?i)").replace("'", "''")
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str, toc: bool = False) -> DataFrame:
+    """The lines of all documents; with ``toc`` half of every twelve are dressed as a table of contents and a chapter."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     n, line = F.col("n"), F.col("line")
     k = n % 12
-    text = F.when(k == 0, F.lit("Table of Contents")).when(k.between(1, 4), F.concat(F.substring("line", 1, 20), F.lit(" ....... "), n.cast("string"))).when(k == 5, F.concat(F.lit("Chapter "), n.cast("string"), F.lit(" begins"))).otherwise(line)
+    text = F.when(k == 0, F.lit("Table of Contents")).when(k.between(1, 4), F.concat("line", F.lit(" ....... "), n.cast("string"))).when(k == 5, F.concat(F.lit("Chapter "), n.cast("string"), F.lit(" begins"))).otherwise(line)
+    text = text if toc else line
     return d.select(
         "doc_id", F.floor(n / 8).cast("int").alias("page"), (n % 8).cast("int").alias("ord"), text.alias("text"), ((n % 8) * 35.0).alias("y"), ((n % 8) * 35.0).alias("y1"), ((n % 8) * 35.0 + 10).alias("y2"), ((n * 7) % 30).cast("double").alias("x1"), ((n * 7) % 30 + 100.0).alias("x2"),
         (F.length(line) % 6 + 10.0).alias("font_size"), F.when(n % 4 == 0, F.lit(16)).otherwise(F.lit(0)).alias("flags"), F.when(n % 5 == 0, F.lit("Title")).otherwise(F.lit("Text")).alias("label"),
     )
 
 
-LINES = """ln AS (SELECT doc_id, CAST(n // 8 AS INTEGER) AS page, CAST(n % 8 AS INTEGER) AS ord,
- CASE WHEN n % 12 = 0 THEN 'Table of Contents' WHEN n % 12 BETWEEN 1 AND 4 THEN substr(line, 1, 20) || ' ....... ' || n WHEN n % 12 = 5 THEN 'Chapter ' || n || ' begins' ELSE line END AS text,
+_LINES = lambda text: f"""ln AS (SELECT doc_id, CAST(n // 8 AS INTEGER) AS page, CAST(n % 8 AS INTEGER) AS ord, {text} AS text,
  CAST((n % 8) * 35 AS DOUBLE) AS y1, CAST((n * 7) % 30 AS DOUBLE) AS x1, CAST(length(line) % 6 + 10 AS DOUBLE) AS font_size, CASE WHEN n % 5 = 0 THEN 'Title' ELSE 'Text' END AS label
- FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents))"""
+ FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents))"""
+LINES = _LINES("line")
+TOC_LINES = _LINES("CASE WHEN n % 12 = 0 THEN 'Table of Contents' WHEN n % 12 BETWEEN 1 AND 4 THEN line || ' ....... ' || n WHEN n % 12 = 5 THEN 'Chapter ' || n || ' begins' ELSE line END")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,22 +46,22 @@ _CONTENT = f"(length({trim_sql('text')}) >= 3 AND regexp_matches(lower({trim_sql
 _KEY = f"regexp_matches(text, '{re2(C.keyword_pattern())}')"
 
 
-@query(f"WITH {LINES} SELECT doc_id, page, count(*) AS n FROM ln WHERE {_ENTRY} GROUP BY ALL")
+@query(f"WITH {TOC_LINES} SELECT doc_id, page, count(*) AS n FROM ln WHERE {_ENTRY} GROUP BY ALL")
 def toc_entry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).where(C.is_entry(F.col("text"))).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n"))
+    return lines(spark, sf_dir, toc=True).where(C.is_entry(F.col("text"))).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {LINES} SELECT doc_id, page, count(*) AS n FROM ln WHERE {_CONTENT} GROUP BY ALL")
+@query(f"WITH {TOC_LINES} SELECT doc_id, page, count(*) AS n FROM ln WHERE {_CONTENT} GROUP BY ALL")
 def content_start_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).where(C.is_content_start(F.col("text"))).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n"))
+    return lines(spark, sf_dir, toc=True).where(C.is_content_start(F.col("text"))).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n"))
 
 
 _START = f"st AS (SELECT doc_id, page AS start_page, min_by(y1, ord) AS start_y, min_by(text, ord) AS matched_text FROM ln WHERE {_KEY} GROUP BY ALL)"
 
 
-@query(f"WITH {LINES}, {_START} SELECT * FROM st")
+@query(f"WITH {TOC_LINES}, {_START} SELECT * FROM st")
 def toc_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.starts(lines(spark, sf_dir))
+    return C.starts(lines(spark, sf_dir, toc=True))
 
 
 _END = f"""sz AS (SELECT doc_id, max(page) + 1 AS pages FROM ln GROUP BY doc_id),
@@ -74,25 +77,25 @@ en AS (SELECT doc_id, start_page, start_y, CAST(coalesce(sp.p, start_page + leas
    FROM st JOIN sz USING (doc_id) LEFT JOIN sp USING (doc_id, start_page) LEFT JOIN al USING (doc_id, start_page))"""
 
 
-@query(f"WITH {LINES}, {_START}, {_END} SELECT * FROM en")
+@query(f"WITH {TOC_LINES}, {_START}, {_END} SELECT * FROM en")
 def toc_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = lines(spark, sf_dir)
+    x = lines(spark, sf_dir, toc=True)
     return C.ends(C.starts(x), x)
 
 
-@query(f"WITH {LINES}, {_START}, {_END} SELECT doc_id, start_page, CASE WHEN end_page - start_page <= 1 THEN 'certain' WHEN end_page - start_page <= 5 THEN 'uncertain' ELSE 'rejected' END AS category, entry_count > 0 AS ready_for_splitting FROM en")
+@query(f"WITH {TOC_LINES}, {_START}, {_END} SELECT doc_id, start_page, CASE WHEN end_page - start_page <= 1 THEN 'certain' WHEN end_page - start_page <= 5 THEN 'uncertain' ELSE 'rejected' END AS category, entry_count > 0 AS ready_for_splitting FROM en")
 def toc_categorise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.detect(lines(spark, sf_dir)).select("doc_id", "start_page", "category", "ready_for_splitting")
+    return C.detect(lines(spark, sf_dir, toc=True)).select("doc_id", "start_page", "category", "ready_for_splitting")
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries from conversations: a turn is an entry, its first words the title, its page from its length."""
+    """Entries from conversations: a turn is an entry, its text the title, its page from its length."""
     c = table(spark, sf_dir, "conversations")
     page = F.when(F.col("turn") % 7 == 6, F.lit(None).cast("int")).otherwise((F.length("text") % 40).cast("int"))
-    return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("ord"), F.substring("text", 1, 3).alias("title"), page.alias("page"), F.when(F.col("turn") % 5 == 4, F.lit(None).cast("int")).otherwise(F.lit(1)).alias("level"))
+    return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("ord"), F.col("text").alias("title"), page.alias("page"), F.when(F.col("turn") % 5 == 4, F.lit(None).cast("int")).otherwise(F.lit(1)).alias("level"))
 
 
-_ENTRIES = "en AS (SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS ord, substr(text, 1, 3) AS title, CASE WHEN turn % 7 = 6 THEN NULL ELSE CAST(length(text) % 40 AS INTEGER) END AS page, CASE WHEN turn % 5 = 4 THEN NULL ELSE 1 END AS level FROM conversations)"
+_ENTRIES = "en AS (SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS ord, text AS title, CASE WHEN turn % 7 = 6 THEN NULL ELSE CAST(length(text) % 40 AS INTEGER) END AS page, CASE WHEN turn % 5 = 4 THEN NULL ELSE 1 END AS level FROM conversations)"
 
 
 @query(f"""WITH {_ENTRIES}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, title, page ORDER BY ord) AS n FROM en WHERE level IS NOT NULL)
@@ -307,14 +310,14 @@ def section_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.section_text(_sections(spark, sf_dir), lines(spark, sf_dir))
 
 
-@query(f"""WITH {LINES}, {_STATS}, {_SCORE}, nu AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, ord) AS n FROM ln),
+@query(f"""WITH {TOC_LINES}, {_STATS}, {_SCORE}, nu AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, ord) AS n FROM ln),
 h AS (SELECT sc.doc_id, sc.page AS hp, sc.ord AS ho, n AS hn FROM sc JOIN nu USING (doc_id, page, ord) WHERE score >= 5 AND regexp_matches(lower(sc.text), 'contents')),
 f AS (SELECT h.*, n, page, text, {_ENTRY} AS entry FROM h JOIN nu ON nu.doc_id = h.doc_id AND n BETWEEN hn + 1 AND hn + 50),
 s AS (SELECT *, count(*) FILTER (entry) OVER (PARTITION BY doc_id, hn ORDER BY n ROWS UNBOUNDED PRECEDING) AS so FROM f),
 t AS (SELECT *, max(CAST(so > 0 AND NOT entry AND NOT regexp_matches(text, '[0-9]') AS INT)) OVER (PARTITION BY doc_id, hn ORDER BY n ROWS UNBOUNDED PRECEDING) AS stop FROM s)
 SELECT doc_id, hp, ho, count(*) FILTER (entry) AS entries, max(page) AS end_page FROM t WHERE stop = 0 GROUP BY ALL HAVING count(*) FILTER (entry) >= 3""")
 def toc_after_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = lines(spark, sf_dir)
+    x = lines(spark, sf_dir, toc=True)
     return G.toc_after_headers(G.headers(x, G.document_stats(x)), x, "contents")
 
 
