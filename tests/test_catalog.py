@@ -10,7 +10,7 @@ from helpers import by_spark, by_sql
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, sf, name):
     got = by_spark(QUERIES[name](spark, sf))
     assert got == by_sql(SQL[name], sf)
