@@ -172,7 +172,7 @@ WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, inst
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
 k AS (SELECT *, regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '') AS key FROM p),
-l AS (SELECT DISTINCT key FROM k WHERE starts_with(host, 'spam-farm.'))
+l AS (SELECT DISTINCT key FROM k WHERE regexp_matches(host, '(^|\\.)({'|'.join(JUNK)})\\.'))
 SELECT page_id, host, path, CASE {name} END AS rule,
        CASE {verdict} WHEN key IN (SELECT key FROM l) AND key <> '' THEN 'block' ELSE 'allow' END AS verdict
 FROM k"""

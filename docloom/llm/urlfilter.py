@@ -92,13 +92,15 @@ class BlockedBloom:
         return probe(F.xxhash64(key), F.xxhash64(key, F.lit(1)))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame, url: str = "url", salts: int = 16, max_bytes: int = 16 << 20) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame, url: str = "url", per_salt: int = 1 << 16, most_hot: int = 1000, max_bytes: int = 16 << 20) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``.
 
     A fitting rule decides; otherwise a page whose canonical URL is in ``listed`` (its column ``url``) is blocked and
     any other is allowed.  A null URL or one without ``://`` has an empty host and path, fits no rule and is allowed.
-    Repeated rows stay; columns of ``pages`` named like the new ones are replaced.  An empty list blocks nothing.
-    A URL that a third of the rows share is spread over ``salts`` join keys.
+    Repeated rows stay; columns of ``pages`` named like the new ones are replaced.  An empty list blocks nothing; URLs of
+    any length are judged whole.  A listed URL that more than ``per_salt`` rows share is spread at random over as many join
+    keys as it takes: the counts come from an aggregation of the possible hits.  The ``most_hot`` commonest ones are treated
+    so; any other is on less than one row in ``most_hot``.
     """
     spark, new = pages.sparkSession, ("host", "path", "rule", "verdict")
     keep = [c for c in pages.columns if c not in new]
@@ -112,7 +114,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame
     base = base.withColumn("__maybe", F.col("__ruled").isNull() & bloom.may_hold(spark, F.col("__key")))
     cols = [*keep, "host", "path", "rule"]
     sure = base.where(~F.col("__maybe")).select(*(F.col(f"`{c}`") for c in cols), F.coalesce("__ruled", F.lit("allow")).alias("verdict"))
-    spread = keys.select("__key", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"), F.lit("block").alias("__listed"))
-    maybe = base.where("__maybe").withColumn("__salt", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in keep)), F.lit(salts)).cast("int"))
+    maybe = base.where("__maybe")
+    hot = maybe.groupBy("__key").count().where(F.col("count") > per_salt).select("__key", F.ceil(F.col("count") / per_salt).cast("int").alias("__salts"), "count").orderBy(F.desc("count")).limit(most_hot)
+    many = {r["__key"]: r["__salts"] for r in hot.toLocalIterator()}
+    salts = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in many.items() for x in kv)), F.col("__key")), F.lit(1)) if many else F.lit(1)
+    spread = keys.select("__key", F.explode(F.sequence(F.lit(0), salts - 1)).alias("__salt"), F.lit("block").alias("__listed"))
+    maybe = maybe.withColumn("__salt", F.least(F.floor(F.rand(9) * salts).cast("int"), salts - 1))
     exact = maybe.join(spread, ["__key", "__salt"], "left").select(*(F.col(f"`{c}`") for c in cols), F.coalesce("__listed", F.lit("allow")).alias("verdict"))
     return sure.unionByName(exact)

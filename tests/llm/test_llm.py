@@ -773,6 +773,18 @@ def test_url_filter(spark):
     assert {r.verdict for r in urlfilter.judge(pages.where("page_id = 8"), Q.RULES, listed.limit(0)).collect()} == {"allow"}
 
 
+def test_hot_urls_are_salted_and_false_positives_removed(spark):
+    """A URL that most rows share, a filter so small that it lets everything through, an empty table, a very long URL."""
+    long = "http://a.org/" + "x" * 100_000
+    pages = spark.createDataFrame([(1, "http://a.org/hot", "s")] * 50 + [(i, f"http://b.org/{i}", "s") for i in range(20)] + [(99, long, "s")], "page_id long, url string, __salt string")
+    listed = spark.createDataFrame([("http://a.org/hot",), (long,)] + [(f"http://z.org/{i}",) for i in range(200)], "url string")
+    got = urlfilter.judge(pages, [], listed, per_salt=7, max_bytes=32)
+    assert Counter(r.verdict for r in got.collect()) == Counter(block=51, allow=20)
+    tiny = urlfilter.BlockedBloom(listed.select(F.col("url").alias("k")), "k", max_bytes=32)
+    assert pages.where(tiny.may_hold(spark, F.col("url"))).count() > 51  # false positives there were
+    assert urlfilter.judge(pages.limit(0), Q.RULES, listed).count() == 0
+
+
 def test_bloom_never_misses(spark):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("k"))
     for most in (64, 1 << 20):
