@@ -92,32 +92,44 @@ class Index:
         return out
 
 
-def _walk(words: np.ndarray, number: np.ndarray, start: np.ndarray, steps: int, walk: int) -> Iterator[np.ndarray]:
-    """The word number that the walk emits at each step, for windows that start at ``start``; 0 for a word of no item
-    and past the end."""
+def _walk(words: np.ndarray, number: np.ndarray, start: np.ndarray, walk: int, steps: list[int]) -> dict[int, np.ndarray]:
+    """The word number that the walk emits at each of ``steps``, for windows that start at ``start``; 0 for a word of no
+    item and past the end."""
     n = len(words)
-    bits = (mix64(words, 1000 + walk) >> U64(9)).astype(np.uint32)  # one for each step
-    at = start.astype(np.int32)
+    bits = np.append((mix64(words, 1000 + walk) >> U64(33)).astype(np.int32), np.int32(0))  # one for each step; the end stays
     here = np.append(number, np.int32(0))
     idx = np.arange(n + 1, dtype=np.int32)
-    for j in range(steps):
-        yield here[at]
-        move = idx.copy()
-        move[:n] += ((bits >> np.uint32(j % 31)) & np.uint32(1)).astype(np.int32)
-        at = move[at]
+    at, move = start.astype(np.int32), np.empty(n + 1, np.int32)
+    out = {}
+    for j in range(max(steps) + 1):
+        if j in steps:
+            out[j] = here.take(at, mode="clip")
+        np.right_shift(bits, j, out=move)
+        move &= 1
+        move += idx
+        at = move.take(at, mode="clip")
+    return out
+
 
+def _band_keys(words: np.ndarray, number: np.ndarray, start: np.ndarray, classes: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(class, band over all walks, windows, keys) for the bands whose sampled words all belong to items.
 
-def _band_keys(words: np.ndarray, number: np.ndarray, start: np.ndarray, steps: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(band over all walks, windows, keys) for the bands whose sampled words all belong to items."""
+    ``classes`` has, for each size class, the steps of its bands (walk x band x SAMPLED); all share the walks.
+    """
     with np.errstate(over="ignore"):
-        for r in range(len(steps)):
-            out = list(_walk(words, number, start, length, r))
-            for b, band in enumerate(steps[r]):
-                ok = np.flatnonzero((out[band[0]] > 0) & (out[band[1]] > 0) & (out[band[2]] > 0))
-                key = np.full(len(ok), U64(r * BANDS + b + 1))
-                for j in band:
-                    key = key * U64(0x9FB21C651E98DF25) + out[j][ok].astype(U64)
-                yield r * BANDS + b, ok, mix64(key, 9)
+        for r in range(max(map(len, classes))):
+            own = [(c, s[r]) for c, s in enumerate(classes) if r < len(s)]
+            out = _walk(words, number, start, r, sorted({int(j) for _, s in own for j in s.ravel()}))
+            known = {j: v > 0 for j, v in out.items()}
+            for c, steps in own:
+                for b, band in enumerate(steps.tolist()):
+                    ok = known[band[0]] & known[band[1]]
+                    ok &= known[band[2]]
+                    ok = np.flatnonzero(ok)
+                    key = np.full(len(ok), U64(r * BANDS + b + 1))
+                    for j in band:
+                        key = key * U64(0x9FB21C651E98DF25) + out[j][ok].astype(U64)
+                    yield c, r * BANDS + b, ok, mix64(key, 9)
 
 
 def _sampled(walks: int, length: int, seed: int = 20) -> np.ndarray:
@@ -139,8 +151,8 @@ def simulated_recall(size: int, edits: int, length: int, walks: int, trials: int
         text = np.concatenate([fresh(3), np.array(w, U64), fresh(size)])
         voc = np.unique(np.concatenate([item, text]))
         num = lambda x: (np.searchsorted(voc, x) + 1).astype(np.int32)
-        mine = {k: set(v.tolist()) for k, _, v in _band_keys(item, num(item), np.zeros(1, np.int64), steps, length)}
-        found += any(not mine[k].isdisjoint(v.tolist()) for k, _, v in _band_keys(text, num(text), np.arange(len(text)), steps, length))
+        mine = {k: set(v.tolist()) for _, k, _, v in _band_keys(item, num(item), np.zeros(1, np.int64), [steps])}
+        found += any(not mine[k].isdisjoint(v.tolist()) for _, k, _, v in _band_keys(text, num(text), np.arange(len(text)), [steps]))
     return found / trials
 
 
@@ -202,7 +214,7 @@ def build_index(items: list[tuple[int, str]], max_edit: float, target: float = 0
         # a walk may run past the end of its piece into what follows it there; an item's end is a wall
         ends = off[ix.piece_item[own] + 1]
         for k in range(0, len(own), 1 << 14):
-            got, mine = _item_keys(flat, number, start[own[k : k + (1 << 14)]], ends[k : k + (1 << 14)], s, steps)
+            got, mine = _item_keys(flat, number, start[own[k : k + (1 << 14)]], ends[k : k + (1 << 14)], s)
             keys.append(got)
             pieces.append(own[k : k + (1 << 14)][mine])
         key, piece = np.concatenate(keys), np.concatenate(pieces)
@@ -211,15 +223,15 @@ def build_index(items: list[tuple[int, str]], max_edit: float, target: float = 0
     return ix
 
 
-def _item_keys(flat: np.ndarray, number: np.ndarray, start: np.ndarray, end: np.ndarray, steps: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _item_keys(flat: np.ndarray, number: np.ndarray, start: np.ndarray, end: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Band keys of pieces of items laid out one after the other, each walled off from the next."""
-    width = np.minimum(end - start, length)
+    width = np.minimum(end - start, int(steps.max()) + 1)
     at = np.repeat(start, width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
     base = np.cumsum(width + 1) - (width + 1)  # a word of no item stands between two pieces
     into = np.repeat(base, width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
     w, n = np.zeros(int((width + 1).sum()), U64), np.zeros(int((width + 1).sum()), np.int32)
     w[into], n[into] = flat[at], number[at]
-    got = [(ok, key) for _, ok, key in _band_keys(w, n, base, steps, length)]
+    got = [(ok, key) for _, _, ok, key in _band_keys(w, n, base, [steps])]
     # what a walk emits behind the wall belongs to the next piece: such bands only propose more, and are verified
     return np.concatenate([k for _, k in got]), np.concatenate([o for o, _ in got])
 
@@ -244,13 +256,13 @@ def edit_distance_in(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]
     n = len(text)
     idx = np.arange(n + 1)
     row, frm = np.zeros(n + 1, np.int64), idx.copy()
+    diag, src = np.empty(n + 1, np.int64), np.empty(n + 1, np.int64)
     for i, w in enumerate(item):
-        diag = np.r_[i + 1, row[:-1] + (text != w)]
+        diag[0], src[0] = i + 1, 0
+        np.add(row[:-1], text != w, out=diag[1:])
         up = row + 1
-        best = np.minimum(diag, up)
-        src = np.where(diag <= up, np.r_[0, frm[:-1]], frm)
-        src[0] = 0
-        level = best - idx
+        src[1:] = np.where(diag[1:] <= up[1:], frm[:-1], frm[1:])
+        level = np.minimum(diag, up) - idx
         low = np.minimum.accumulate(level)
         at = np.maximum.accumulate(np.where(level == low, idx, 0))
         row, frm = low + idx, src[at]
@@ -265,11 +277,11 @@ def proposals(ix: Index, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     if ix.classes and len(w):
         number = ix.numbers(w)
         every = np.arange(len(w), dtype=np.int32)
-        for c in ix.classes:
-            for _, ok, key in _band_keys(w, number, every, c.steps, int(c.steps.max()) + 1):
-                at, k = _lookup(c.key, c.flags, key)
-                piece.append(c.piece[k])
-                start.append(ok[at])
+        for c, _, ok, key in _band_keys(w, number, every, [c.steps for c in ix.classes]):
+            own = ix.classes[c]
+            at, k = _lookup(own.key, own.flags, key)
+            piece.append(own.piece[k])
+            start.append(ok[at])
     both = np.unique(np.concatenate(piece) << 32 | np.concatenate(start))
     piece, start = both >> 32, both & ((1 << 32) - 1)
     return ix.piece_item[piece], start, start - ix.piece_at[piece]
