@@ -250,10 +250,11 @@ def brute_join(rows, pct=60):
     return sorted((rows[i][0], len(sets[i]), sum(link[i]), rows[comp[i]][0]) for i in range(n))
 
 
-@pytest.mark.parametrize("block,hot", [(512, 1 << 16), (3, 1 << 16), (5, 4)])
-def test_join_equals_brute_force(spark, monkeypatch, block, hot):
+@pytest.mark.parametrize("block,hot,heavy", [(512, 1 << 16, 64), (3, 1 << 16, 1), (5, 4, 1), (2, 1 << 16, 64)])
+def test_join_equals_brute_force(spark, monkeypatch, block, hot, heavy):
     monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block)
     monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "HEAVY_LEAST", heavy)
     rows = [(3 * i + 1, t) for i, t in enumerate(some_texts())]
     got = ngram_join.similar_documents(docs_frame(spark, rows).drop("kept_sha256"))
     assert sorted(map(tuple, got.collect())) == brute_join(rows)
@@ -269,6 +270,56 @@ def test_join_with_repeated_and_null_rows(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "5", "None"] and kept.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
 
 
+def test_one_large_chain_of_families(spark, monkeypatch):
+    """A chain of near copies that is one family: taken apart by homes, nothing is lost or counted twice."""
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 4)
+    words = [f"k{i}" for i in range(400)]
+    rows = [(i + 1, " ".join(words[i * 3 : i * 3 + 40])) for i in range(100)] + [(500 + i, " ".join(words[i * 3 : i * 3 + 40])) for i in range(5)]
+    got = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == brute_join(rows)
+
+
+def test_counts_are_exact_and_without_copies(spark):
+    """Counters beyond 255 survive the way through Spark, and the copies of a heavy class are taken off again."""
+    rows = [(i, "aa bb cc dd") for i in range(700)] + [(1000 + i, f"aa bb x{i}") for i in range(300)] + [(3000, "ee ff")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    described = ngram_join._describe(docs, 2)
+    h = ngram_join._sets(np.frombuffer(b"aa bb cc", np.uint8), np.array([0, 8]), 2)[0]
+    c1, _ = ngram_join._cells(h)
+    steps = lambda n: round(ngram_join.OCTAVE * float(np.log2(1 + n)))
+    assert sorted(ngram_join._sketch(described, None)[c1].tolist()) == sorted([steps(1000), steps(700)])
+    heavy = described.where("block is null").groupBy("s1", "size").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("node").alias("node")).where("weight > 64").select("s1", "rep", "weight", "node")
+    got = ngram_join._sketch(described, ngram_join._copies(docs, heavy, 2))[c1]
+    assert sorted(got.tolist()) == sorted([steps(301), steps(1)])
+
+
+def test_trees_prune_most_pairs():
+    """How many pairs of leaves the dual traversal looks at, against all there are, for groups of near copies."""
+    rng = np.random.default_rng(8)
+    groups = [rng.random(4096) < 0.02 for _ in range(64)]
+    sets = np.concatenate([g ^ (rng.random((16, 4096)) < 0.0005) for g in groups])
+    bits, size = np.packbits(sets, axis=1).view(np.uint64), sets.sum(1)
+    looked = []
+    real = np.bitwise_count
+    t = ngram_join.tree(bits, size, ngram_join.height_of(len(size)))
+
+    class Counting:
+        def __getattr__(self, k):
+            return getattr(np, k)
+
+        def bitwise_count(self, x):
+            looked.append((x.shape[0], x.shape[1]))
+            return real(x)
+
+    ngram_join.np, keep = Counting(), ngram_join.np
+    try:
+        a, b = ngram_join.tree_pairs(t, t, 60, True)
+    finally:
+        ngram_join.np = keep
+    n = len(size)
+    assert len(a) >= 64 * 16 * 15 // 2 * 0.9 and sum(x for x, _ in looked) < 0.2 * n * (n - 1) / 2
+
+
 def test_tree_pairs_equal_all_pairs():
     rng = np.random.default_rng(3)
     base = rng.random((9, 256)) < 0.3
