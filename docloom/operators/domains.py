@@ -67,6 +67,25 @@ def threshold(kind: Column, table: dict[str, float] | None = None, default: floa
     return F.coalesce(F.try_element_at(F.create_map(*entries), kind), F.lit(default)) if entries else F.lit(default)
 
 
+def extend_types(types: Column, more: Column) -> Column:
+    """A list of entity types with those of another that it lacks, each once, in upper case."""
+    return F.array_union(F.transform(types, F.upper), F.transform(more, F.upper))
+
+
+def meta_instructions(reply: Column) -> Column:
+    """A model's instructions for extraction: the whole reply, trimmed; null if there is nothing in it."""
+    return F.nullif(F.trim(reply), F.lit(""))
+
+
+def extraction_prompt(name: str, text: Column, instructions: Column, known: Column) -> Column:
+    """The prompt of one domain: the model's own instructions if it gave any, else the domain's base prompt; then what is
+    known from elsewhere, then the text."""
+    d = DOMAINS[name]
+    base = d.extraction.split("{text}")[0].replace("{types}", ", ".join(d.types))
+    context = F.when(F.coalesce(F.size(known), F.lit(0)) > 0, F.concat(F.lit("\nKnown already:\n"), F.array_join(known, "\n"), F.lit("\n"))).otherwise(F.lit(""))
+    return F.concat(F.coalesce(F.concat(meta_instructions(instructions), F.lit("\n")), F.lit(base)), context, text)
+
+
 def classify(reply: Column) -> Column:
     """Known domains named by a classifier's JSON reply (a list, or an object's ``domains``); ``simple`` if none is."""
     got = F.coalesce(F.from_json(reply, "array<string>"), F.from_json(F.get_json_object(reply, "$.domains"), "array<string>"))

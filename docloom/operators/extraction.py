@@ -90,6 +90,33 @@ def resolve_relations(relations: DataFrame, entities: DataFrame, on: list[str])
     return r.join(a, [*on, "s"]).join(b, [*on, "t"]).select(*on, "source_id", "target_id", F.upper("type").alias("relation_type"), "evidence")
 
 
+def by_domain(chunks: DataFrame, domains: Column, extractor: Extractor | None = None) -> DataFrame:
+    """Every chunk's entities for each of its domains: raw entities found once, kept by the domain's own types and
+    thresholds, tagged with the domain; the same entity of two domains stays twice.
+
+    Domains that don't exist are passed over.
+    """
+    table = chunks.sparkSession.createDataFrame([(d.name, t) for d in DOMAINS.values() for t in d.types], "domain string, __type string")
+    raw = fan_out(mentions(chunks.withColumn("__domains", domains), extractor), F.col("__domains")).drop("__domains")
+    own = raw.join(F.broadcast(table), (raw["domain"] == table["domain"]) & (F.upper(trim_u(raw["type"])) == table["__type"]), "left_semi")
+    return second_gate(validate(own, sorted({t for d in DOMAINS.values() for t in d.types})))
+
+
+def stored_rows(entities: DataFrame, chunks: DataFrame, on: list[str], source: Column, now: Column) -> DataFrame:
+    """Entities as the store keeps them: an id, the chunk and the document they come from, and times."""
+    c = chunks.select(*on, F.col("id").alias("source_chunk_id"), source.alias("document_source"))
+    rows = entities.join(c, on)
+    return rows.withColumns({"id": entity_id("source_chunk_id", "ord", "name", "type"), "source_chunk_ids": F.array("source_chunk_id"), "created_at": now, "updated_at": now})
+
+
+def known_lines(context: DataFrame, by: str, most: int = 8, aliases: int = 3) -> DataFrame:
+    """(by, known): for each chunk the lines about its best entities (score, name, type, aliases), best first, each with up to
+    ``aliases`` other names and its likeness as a relation."""
+    line = F.concat(F.col("name"), F.lit(" ("), F.col("type"), F.lit(")"), F.when(F.size("aliases") > 0, F.concat(F.lit(" = "), F.array_join(F.slice("aliases", 1, aliases), ", "))).otherwise(F.lit("")), F.lit(" SIMILAR_CONTEXT "), F.format_number("score", 3))
+    rows = context.where(F.col("rank") <= most).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("all"))
+    return rows.select(by, F.transform("all", lambda x: x["line"]).alias("known"))
+
+
 def merge_aliases(existing: Column, new: Column, name: Column) -> Column:
     """``existing`` with the new aliases that are neither blank, nor the name, nor there already in any case."""
     step = lambda acc, x: F.when((x == "") | (F.lower(x) == F.lower(name)) | F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.array_append(acc, x))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import preview
@@ -41,12 +41,14 @@ def within_hops(edges: DataFrame, starts: DataFrame, entities: DataFrame, hops:
     anti-join, so the frontier only holds new ones.
     """
     keep = entities.select("id").distinct()
-    both = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).union(edges.select("target_id", "source_id")).distinct()
-    both = both.join(keep.withColumnRenamed("id", "a"), "a", "left_semi").join(keep.withColumnRenamed("id", "b"), "b", "left_semi")
-    seen = starts.select(F.col("id").alias("start"), "id")
-    front = seen
+    seen = starts.select(F.col("id").alias("start"), "id").distinct()
+    front = seen.join(keep, "id", "left_semi").select("start", "id")
     for _ in range(hops):
-        step = front.join(both, front["id"] == both["a"]).select("start", F.col("b").alias("id")).distinct()
+        # only edges at the frontier are looked at, each way by one equi-join; what they lead to is filtered after that
+        f = front.select("start", F.col("id").alias("__at"))
+        out = f.join(edges, f["__at"] == edges["source_id"]).select("start", F.col("target_id").alias("id"))
+        into = f.join(edges, f["__at"] == edges["target_id"]).select("start", F.col("source_id").alias("id"))
+        step = out.union(into).distinct().join(keep, "id", "left_semi").select("start", "id")
         front = step.join(seen, ["start", "id"], "left_anti")
         seen = seen.union(front)
     return seen.where("start <> id")
@@ -81,6 +83,93 @@ def with_description(nodes: DataFrame, descriptions: DataFrame) -> DataFrame:
     return nodes.join(new, "id", "left").withColumn("descriptions", F.concat(F.coalesce("descriptions", F.array().cast("array<string>")), F.coalesce("new", F.array().cast("array<string>")))).drop("new")
 
 
+def upsert_nodes(nodes: DataFrame, new: DataFrame, order: str = "updated_at") -> DataFrame:
+    """Nodes unique by id; of several the latest is kept, of equally late ones the new."""
+    from docloom.operators.store import upsert
+
+    return upsert(nodes, new, "id", order)
+
+
+def edge_id() -> Column:
+    return F.concat_ws("--", "source_id", "relation_type", "target_id")
+
+
+def edge_by_id(edges: DataFrame, wanted: str) -> DataFrame:
+    """The edge of one id (source--type--target); no row if there is none."""
+    return edges.withColumn("id", edge_id()).where(F.col("id") == wanted)
+
+
+def export(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, id, json) for every node and edge, an object of its fields without nulls, and one row of counts."""
+    flat = lambda df: F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "true"}).alias("json")
+    counts = export_counts(nodes, edges)
+    out = nodes.select(F.lit("node").alias("part"), F.col("id").cast("string").alias("id"), flat(nodes))
+    return out.unionByName(edges.select(F.lit("edge").alias("part"), edge_id().alias("id"), flat(edges))).unionByName(counts.select(F.lit("counts").alias("part"), F.lit("").alias("id"), flat(counts)))
+
+
+def view(nodes: DataFrame, edges: DataFrame, types: list[str] | None = None, most: int = 900) -> DataFrame:
+    """One row about what the graph endpoint shows: nodes and edges shown, whether either was cut at ``most`` (a display
+    limit), and the types there are to filter by."""
+    kept, own = of_types(nodes, edges, types, most=None) if types is not None else (nodes, edges)
+    n = kept.agg(F.least(F.count(F.lit(1)), F.lit(most)).alias("nodes"), (F.count(F.lit(1)) > most).alias("nodes_truncated"))
+    e = own.agg(F.least(F.count(F.lit(1)), F.lit(most)).alias("edges"), (F.count(F.lit(1)) > most).alias("edges_truncated"))
+    t = nodes.where("node_type = 'entity'").agg(F.array_join(F.array_sort(F.collect_set("entity_type")), "|").alias("types"))
+    return n.join(e).join(t)  # three single rows
+
+
+def json_value(data: Column) -> Column:
+    """Node data as JSON: objects as they are; other JSON under ``value``, and what isn't JSON under ``raw``."""
+    is_json = F.try_parse_json(data).isNotNull()
+    return F.when(is_json & data.rlike(r"^\s*\{"), data).when(is_json, F.concat(F.lit('{"value":'), F.trim(data), F.lit("}"))).when(data.isNotNull(), F.to_json(F.struct(data.alias("raw"))))
+
+
+def node_link_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(ord, id, line): the graph as one node-link object whose nodes and links have a line each.
+
+    Lines in the order of (ord, id) make a valid file, written and read in parallel; nulls are left out.  A comma ends
+    all lines but those of the greatest node and link.
+    """
+    text = lambda df: F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "true"})
+    links = edges.withColumnsRenamed({"source_id": "source", "target_id": "target"})
+
+    def lines(df: DataFrame, key: Column, ord: int) -> DataFrame:
+        rows = df.select(F.lit(ord).alias("ord"), key.cast("string").alias("id"), text(df).alias("json"))
+        last = F.broadcast(rows.agg(F.max("id").alias("last")))
+        return rows.join(last).select("ord", "id", F.concat("json", F.when(F.col("id") < F.col("last"), F.lit(",")).otherwise(F.lit(""))).alias("line"))
+
+    fixed = [(0, "", '{"directed":true,"multigraph":false,"graph":{},"nodes":['), (2, "", '],"links":['), (4, "", "]}")]
+    out = nodes.sparkSession.createDataFrame(fixed, "ord int, id string, line string")
+    return out.unionByName(lines(nodes, F.col("id"), 1)).unionByName(lines(links, F.concat_ws("--", "source", "relation_type", "target"), 3))
+
+
+def read_graph(spark: SparkSession, path: str, node_schema: str, edge_schema: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a stored graph: from ``graph.json`` (a node-link object, with a line per node and link or not),
+    else from ``graph.graphml``, else empty."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    there = lambda f: (lambda p: p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))(hadoop.Path(f"{path}/{f}"))
+    if there("graph.json"):
+        whole = spark.read.schema(f"nodes array<struct<{_colons(node_schema)}>>, links array<struct<source: string, target: string, {_colons(edge_schema)}>>").option("multiLine", "true").json(f"{path}/graph.json")
+        edges = whole.select(F.explode("links").alias("e")).select("e.*").withColumnsRenamed({"source": "source_id", "target": "target_id"})
+        return whole.select(F.explode("nodes").alias("n")).select("n.*"), edges
+    empty = spark.createDataFrame([], node_schema), spark.createDataFrame([], f"source_id string, target_id string, {edge_schema}")
+    if not there("graph.graphml"):
+        return empty
+    out = []
+    for tag, frame in (("node", empty[0]), ("edge", empty[1])):
+        ends = "" if tag == "node" else "_source string, _target string, "
+        ident = "_id string, " if tag == "node" else ""
+        rows = spark.read.format("xml").option("rowTag", tag).schema(f"{ident}{ends}data array<struct<_VALUE: string, _key: string>>").load(f"{path}/graph.graphml")
+        of = F.map_from_entries(F.transform(F.coalesce("data", F.array().cast("array<struct<_VALUE:string,_key:string>>")), lambda d: F.struct(d["_key"], d["_VALUE"])))
+        fixed = {"id": F.col("_id") if tag == "node" else None, "source_id": F.col("_source") if tag == "edge" else None, "target_id": F.col("_target") if tag == "edge" else None}
+        cols = [(fixed[f.name] if fixed.get(f.name) is not None else F.try_element_at(of, F.lit(f.name)).cast(f.dataType)).alias(f.name) for f in frame.schema.fields]
+        out.append(rows.select(cols))
+    return out[0], out[1]
+
+
+def _colons(schema: str) -> str:
+    return ", ".join(": ".join(part.strip().split(None, 1)) for part in schema.split(","))
+
+
 def node_link_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The graph as lines of JSON, nodes then links, nulls left out; a writer joins them to one node-link object."""
     a = nodes.select(F.lit("node").alias("part"), F.to_json(F.struct("*"), {"ignoreNullFields": "true"}).alias("json"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import cleanup_breaks, has_table, trim_u
+from docloom.operators.providers import RATE_LIMIT
 
 
 def to_do(pages: DataFrame, results: DataFrame) -> DataFrame:
@@ -78,4 +79,4 @@ def all_results(*parts: DataFrame) -> DataFrame:
 
 
 def is_rate_limit(error: Column) -> Column:
-    return F.lower(error).rlike("rate.?limit|429|too many requests")
+    return F.lower(error).rlike(RATE_LIMIT.pattern)

@@ -6,6 +6,8 @@ is written before use; the offline forms are plain expressions, so queries on th
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -19,6 +21,10 @@ from pyspark.sql.types import ArrayType, DoubleType
 from docloom.functions.vectors import letter_vector
 
 
+#: What a service says when it has been called too often; anything else isn't tried again.
+RATE_LIMIT = re.compile(r"rate.?limit|429|too many requests|rate_limit_exceeded", re.IGNORECASE)
+
+
 class Embedder(Protocol):
     model: str
 
@@ -125,10 +131,16 @@ class Provider:
     call: Callable[[list[str]], list[str]]
     batch: int = 10
     retries: int = 1
+    backoff: float = 30.0  # seconds before a call that the service's rate limit refused is made again
+    calls_at_once: int | None = None
+
+    def bounded(self, rows: DataFrame) -> DataFrame:
+        """``rows`` in as many partitions as calls may run at once: each task makes one call at a time."""
+        return rows if self.calls_at_once is None else rows.repartition(self.calls_at_once)
 
     def column(self, prompt: Column) -> Column:
         """Replies as a struct (reply, error): failures become rows, never failed tasks."""
-        call, batch, retries = self.call, self.batch, self.retries
+        call, batch, retries, backoff = self.call, self.batch, self.retries, self.backoff
 
         @F.pandas_udf("reply string, error string")
         def ask(prompts: pd.Series) -> pd.DataFrame:
@@ -141,8 +153,11 @@ class Provider:
                         out += [(r, None) for r in call(part)]
                         break
                     except Exception as e:  # noqa: BLE001 - the error is the row's result
-                        if left == 0:
+                        if left and RATE_LIMIT.search(str(e)):
+                            time.sleep(backoff)
+                        else:
                             out += [(None, f"{type(e).__name__}: {e}")] * len(part)
+                            break
             return pd.DataFrame(out, columns=["reply", "error"])
 
         return ask.asNondeterministic()(prompt)

@@ -110,3 +110,21 @@ def title_match(titles: DataFrame, windows: DataFrame, least: float = 0.6) -> Da
     """
     both = titles.join(windows, ["doc_id", "page"], "left")
     return both.groupBy("doc_id", "page", "title").agg((F.max(F.when(F.col("v").isNotNull(), F.round(similarity(F.col("q"), F.col("v")), PLACES))) >= least).alias("matches"))
+
+
+def cache_put(cache: DataFrame, new: DataFrame) -> DataFrame:
+    """The cache with new rows (model, text_hash, embedding, cached_at); of one key the latest is kept."""
+    from docloom.operators.store import upsert
+
+    key = lambda df: df.withColumn("__key", F.concat_ws("\u0001", "model", "text_hash"))
+    return upsert(key(cache), key(new), "__key", "cached_at").drop("__key")
+
+
+def cache_clear(cache: DataFrame, model: str | None = None) -> DataFrame:
+    """The cache without the rows of one model, or without any."""
+    return cache.where(F.col("model") != model) if model is not None else cache.limit(0)
+
+
+def similar_chunks(chunks: DataFrame, query: list[float], least: float = 0.6, most: int = 20) -> DataFrame:
+    """The chunks (id, embedding) most like a query vector, at least ``least``."""
+    return top_k(chunks, query, most, least, clamp=True)

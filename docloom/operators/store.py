@@ -133,6 +133,88 @@ def status(entities: DataFrame, chunks: DataFrame, edges: DataFrame) -> DataFram
     return one(entities, "entities").join(one(chunks, "chunks")).join(one(edges, "relations"))
 
 
+def by_id(table: DataFrame, wanted: str | int, key: str = "id") -> DataFrame:
+    """The row of one id; no row if there is none."""
+    return table.where(F.col(key) == wanted)
+
+
+def response(entities: DataFrame) -> DataFrame:
+    """Entities as the service answers them: the public fields only, ``source_chunk_ids`` under ``source_chunks``."""
+    return entities.withColumnRenamed("source_chunk_ids", "source_chunks").select("id", "name", "type", "description", "confidence", "aliases", "source_chunks")
+
+
+def create_entities(new: DataFrame, now: Column | None = None) -> DataFrame:
+    """New entities with an id from their content, confidence within 0 and 1 (missing or 0 means 1), and times."""
+    c = F.coalesce(F.nullif(F.col("confidence"), F.lit(0.0)), F.lit(1.0))
+    rows = new.withColumns({"id": F.sha2(F.concat_ws("\u0001", "name", "type"), 256), "confidence": F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))})
+    return rows if now is None else rows.withColumns({"created_at": now, "updated_at": now})
+
+
+def register_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks (id or null, text, document_source, start, end) as the store keeps them; an id is made where none is given."""
+    made = F.sha2(F.concat_ws("\u0001", "document_source", F.col("start").cast("string"), F.col("end").cast("string")), 256)
+    return chunks.withColumns({"id": F.coalesce("id", made), "entity_ids": F.array().cast("array<string>"), "processed": F.lit(False)})
+
+
+def persist_chunks(registered: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Registered chunks with the ids of their entities (found: id, entity_ids), marked processed, and the edges to these."""
+    from docloom.operators.graph import contains_edges
+
+    f = found.select("id", F.array_sort(F.array_distinct("entity_ids")).alias("__ids"))
+    rows = registered.join(f, "id", "left")
+    done = rows.withColumns({"entity_ids": F.coalesce("__ids", F.col("entity_ids")), "processed": F.col("processed") | F.col("__ids").isNotNull()}).drop("__ids")
+    return done, contains_edges(done)
+
+
+def edge_list(edges: DataFrame, entity: str | int | None = None, kind: str | None = None, order: tuple[str, ...] = ("source_id", "target_id"), offset: int = 0, limit: int = 50) -> DataFrame:
+    """A page of the filtered edges, each row with ``total_found`` and ``returned``."""
+    found = filter_edges(edges, entity, kind)
+    total = found.agg(F.count(F.lit(1)).alias("total_found"))
+    shown = F.greatest(F.lit(0), F.least(F.lit(min(limit, 200)).cast("long"), F.col("total_found") - max(0, offset)))
+    return page(found, list(order), offset, limit).join(F.broadcast(total)).withColumn("returned", shown)
+
+
+def analysis_stats(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """Entities by type, edges by relation, and the totals, as (kind, name, n)."""
+    count = F.count(F.lit(1)).alias("n")
+    a = entities.groupBy(F.col("type").alias("name")).agg(count).select(F.lit("type").alias("kind"), "name", "n")
+    b = edges.groupBy(F.col("relation_type").alias("name")).agg(count).select(F.lit("relation"), "name", "n")
+    total = lambda df, name: df.agg(count).select(F.lit("total"), F.lit(name), "n")
+    return a.union(b).union(total(entities, "entities")).union(total(edges, "relations"))
+
+
+def growth(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(name, before, after, added) of two tables of counts (name, n)."""
+    both = before.withColumnRenamed("n", "before").join(after.withColumnRenamed("n", "after"), "name", "full")
+    both = both.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("before", "after")})
+    return both.withColumn("added", F.col("after") - F.col("before"))
+
+
+def details(entities: DataFrame, edges: DataFrame, node: str | int, most_edges: int = 20, most_related: int = 10) -> DataFrame:
+    """The answer about one entity as rows (part, place, id, text): itself, its first edges, its first related entities, and
+    a row of metadata with the numbers of both.  No row if there is no such entity."""
+    own, first, related = card(entities, edges, node, most_edges, most_related)
+    number = lambda *c: F.row_number().over(Window.orderBy(*c))  # noqa: E731 - over at most most_edges rows
+    a = own.select(F.lit("entity").alias("part"), F.lit(1).alias("place"), F.col("id").cast("string").alias("id"), F.concat_ws(" ", "name", "type").alias("text"))
+    b = first.select(F.lit("edge"), number("source_id", "target_id", "relation_type", "direction"), F.concat_ws("--", "source_id", "relation_type", "target_id"), F.col("direction"))
+    c = related.select(F.lit("related"), number("id"), F.col("id").cast("string"), F.concat_ws(" ", "name", "type"))
+    rows = a.union(b).union(c)
+    meta = rows.groupBy().agg(F.count_if(F.col("part") == "edge").alias("e"), F.count_if(F.col("part") == "related").alias("r"), F.count(F.lit(1)).alias("n")).where("n > 0")
+    return rows.union(meta.select(F.lit("metadata"), F.lit(1), F.lit(str(node)), F.concat_ws(" ", F.col("e").cast("string"), F.col("r").cast("string"))))
+
+
+def knowledge_export(entities: DataFrame, chunks: DataFrame, edges: DataFrame) -> DataFrame:
+    """The whole graph as rows (section, key, json): metadata, entities, chunks, graph and statistics, nulls left out."""
+    text = lambda df: F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "true"}).alias("json")
+    part = lambda df, name, key: df.select(F.lit(name).alias("section"), key.cast("string").alias("key"), text(df))
+    counts = status(entities, chunks, edges)
+    meta = counts.select(F.lit("2.0").alias("version"), (F.col("entities") + F.col("chunks")).alias("nodes"), F.col("relations").alias("links"))
+    out = part(meta, "metadata", F.lit("")).union(part(entities, "entities", F.col("id"))).union(part(chunks, "chunks", F.col("id")))
+    out = out.union(part(edges, "graph", F.concat_ws("--", "source_id", "relation_type", "target_id")))
+    stats = analysis_stats(entities, edges)
+    return out.union(part(stats, "statistics", F.concat_ws("/", "kind", "name")))
+
+
 # --- tables on disk ---------------------------------------------------------------------------
 
 
@@ -169,6 +251,24 @@ class Store:
         v = version if version is not None else (have[-1] if have else None)
         return self.spark.read.parquet(f"{self.path}/{table}/v={v}") if v in have else None
 
+    def open(self, schemas: dict[str, str]) -> dict[str, DataFrame]:
+        """All tables at their latest versions, read when they are used; one that isn't there is empty."""
+        out = {}
+        for t, schema in schemas.items():
+            have = self.load(t)
+            out[t] = self.spark.createDataFrame([], schema) if have is None else have
+        return out
+
+    def metadata(self) -> DataFrame:
+        """The row of metadata; a row without values if none is stored."""
+        have = self.load("metadata")
+        return self.spark.createDataFrame([(None, None)], "last_saved timestamp, storage_version string") if have is None else have
+
+    def one(self, table: str, wanted: str | int) -> DataFrame | None:
+        """One entity or chunk by id, from the latest version."""
+        have = self.load(table)
+        return None if have is None else by_id(have, wanted)
+
     def restore(self, table: str, version: int) -> int:
         """Make an older version the latest."""
         old = self.load(table, version)
@@ -178,7 +278,8 @@ class Store:
 
     def prune(self, table: str) -> None:
         fs, hadoop = self._fs()
-        for v in self.versions(table)[: -self.keep]:
+        have = self.versions(table)
+        for v in have[: len(have) - max(1, self.keep)]:  # the latest always stays
             fs.delete(hadoop.Path(f"{self.path}/{table}/v={v}"), True)
 
     def merge(self, table: str, new: DataFrame, **how: str) -> int:

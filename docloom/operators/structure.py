@@ -197,3 +197,14 @@ def crop_top(y: Column, height: float, margin: float = 10.0, near: float = 0.05)
 
 def section_stats(sections: DataFrame) -> DataFrame:
     return sections.groupBy("precision").agg(F.count(F.lit(1)).alias("n"))
+
+
+def page_ranges(sections: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of sections (doc_id, section, start_page, end_page; both ends included) the pages of those that can be cut out, and
+    the others with a reason: a start after the end, or a page that the document (doc_id, pages) hasn't."""
+    rows = sections.join(sizes, "doc_id", "left")
+    reason = F.when(F.col("pages").isNull(), F.lit("no document")).when(F.col("start_page") > F.col("end_page"), F.lit("start after end"))
+    reason = reason.when((F.col("start_page") < 0) | (F.col("end_page") >= F.col("pages")), F.lit("out of range"))
+    rows = rows.withColumn("reason", reason)
+    good = rows.where("reason is null").select("doc_id", "section", F.explode(F.sequence("start_page", "end_page")).alias("page"))
+    return good, rows.where("reason is not null").select("doc_id", "section", "reason")

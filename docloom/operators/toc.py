@@ -154,3 +154,13 @@ def is_valid(bounds: DataFrame, boundaries: DataFrame, content: DataFrame) -> Da
 def detect(lines: DataFrame) -> DataFrame:
     """The whole detection: starts, ends, category, and whether the document is ready to be split."""
     return categorised(ends(starts(lines), lines)).withColumns({"method": F.lit("pattern"), "ready_for_splitting": F.col("entry_count") > 0})
+
+
+def final_records(docs: DataFrame, found: DataFrame, method: str = "patterns") -> DataFrame:
+    """A record per document: the first table of contents found in it with its place and method, ready for splitting if it
+    has entries; or a failure with its reason."""
+    first = found.groupBy("doc_id").agg(F.min_by(F.struct("start_page", "start_y", "end_page", "end_y", "entry_count"), F.struct("start_page", "start_y")).alias("t"))
+    rows = docs.select("doc_id").distinct().join(first, "doc_id", "left")
+    n = F.coalesce("t.entry_count", F.lit(0)).cast("int")
+    reason = F.when(F.col("t").isNull(), F.lit("no table of contents")).when(n == 0, F.lit("no entries"))
+    return rows.select("doc_id", "t.start_page", "t.start_y", "t.end_page", "t.end_y", n.alias("entries"), F.when(F.col("t").isNotNull(), F.lit(method)).alias("method"), (n > 0).alias("ready_for_splitting"), reason.alias("reason"))
