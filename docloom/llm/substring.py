@@ -309,17 +309,25 @@ def repeated_paths(docs: DataFrame, runs: DataFrame, k: int = 13) -> DataFrame:
     nonbranching paths (start, n) in them: n edges from word ``start`` on, between whose ends no node has a second edge
     coming in or going out.  ``runs`` is the written result of ``repeated_runs``.
     """
-    spark = docs.sparkSession
     asked = runs.select("src_doc", "src_tid", "src_start", "n").distinct().groupBy("src_doc", "src_tid").agg(F.collect_list(F.struct("src_start", "n")).alias("asked"))
     bloom = BlockedBloom(runs.select("src_doc").distinct(), "src_doc")  # only texts of sources travel
-    texts = _keyed(docs).where(bloom.may_hold(spark, F.col("doc_id"))).select(F.col("doc_id").alias("src_doc"), F.col("tid").alias("src_tid"), "text").dropDuplicates(["src_doc", "src_tid"])
+    texts = bloom.mark(_keyed(docs), F.col("doc_id")).where("__maybe").select(F.col("doc_id").alias("src_doc"), F.col("tid").alias("src_tid"), "text").dropDuplicates(["src_doc", "src_tid"])
     parts = parts_for(total_bytes(docs), 8 << 20)
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["src_doc", "src_tid", "sources", "part", "node", "way", "src", "at"]
+        names = ["src_doc", "src_tid", "sources", "part", "node", "at", "row", "ids"]
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("text", pa.string())])), pa.int32(), *(pa.binary() for _ in range(4)))
+
+        def packed(rows: list, node: list, at: list, ids: list) -> pa.RecordBatch:
+            h, p, r = np.concatenate(node), np.concatenate(at), np.repeat(np.arange(len(ids)), [len(x) for x in node])
+            own = np.array(ids, np.int64)
+            for q, (x, y, z) in _by_part((h % U64(parts)).astype(np.int64), [h, p, r]):
+                here, inv = np.unique(z, return_inverse=True)
+                rows.append((None, None, None, q, x.tobytes(), y.tobytes(), inv.astype(np.uint32).tobytes(), own[here].tobytes()))
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+        rows, node, at, ids, held = [], [], [], [], 0
         for b in batches:
-            rows, node, way, src, at = [], [], [], [], []
             for i in range(b.num_rows):
                 doc, tid, text, asks = (b.column(c)[i].as_py() for c in range(4))
                 words = text.encode().split()
@@ -330,32 +338,37 @@ def repeated_paths(docs: DataFrame, runs: DataFrame, k: int = 13) -> DataFrame:
                     buf = np.frombuffer(piece, np.uint8)
                     s, t, _ = word_spans(buf, np.array([0, len(buf)]))
                     h = grams(word_hashes(buf, s, t), k - 1)  # nodes a .. e of the edges a .. e - 1
+                    way = np.r_[2, np.full(len(h) - 2, 3), 1]  # 1: an edge comes in, 2: one goes out
                     node.append(h)
-                    way.append(np.r_[2, np.full(len(h) - 2, 3), 1].astype(np.uint8))  # 1: an edge comes in, 2: one goes out
-                    src.append(np.tile(np.array([[doc, tid]]), (len(h), 1)))
-                    at.append(np.arange(a, a + len(h), dtype=np.int32))
+                    at.append((np.arange(a, a + len(h)) << 2 | way).astype(np.int64))
+                    ids.append((doc, tid))
+                    held += len(h)
                 rows.append((doc, tid, found, None, None, None, None, None))
-            if rows:
-                h, w, s, p = (np.concatenate(x) for x in (node, way, src, at))
-                for q, (x, y, z, v) in _by_part((h % U64(parts)).astype(np.int64), [h, w, s, p]):
-                    rows.append((None, None, None, q, x.tobytes(), y.tobytes(), z.tobytes(), v.tobytes()))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                if held > FLUSH // 2:
+                    yield packed(rows, node, at, ids)
+                    rows, node, at, ids, held = [], [], [], [], 0
+        if held:
+            yield packed(rows, node, at, ids)
 
     def branching(t: pa.Table) -> pa.Table:
-        h, w, s, p = (np.concatenate([np.frombuffer(x.as_py(), d) for x in t[c]]) for c, d in (("node", U64), ("way", np.uint8), ("src", np.int64), ("at", np.int32)))
-        s = s.reshape(-1, 2)
+        h, p, own = [], [], []
+        for x in t.to_pylist():
+            h.append(np.frombuffer(x["node"], U64))
+            p.append(np.frombuffer(x["at"], np.int64))
+            own.append(np.frombuffer(x["ids"], np.int64).reshape(-1, 2)[np.frombuffer(x["row"], np.uint32)])
+        h, p, own = np.concatenate(h), np.concatenate(p), np.concatenate(own)
         _, inv = np.unique(h, return_inverse=True)
-        into, out = np.bincount(inv, w & 1), np.bincount(inv, w >> 1)
-        cut = np.flatnonzero((w == 3) & ((into[inv] > 1) | (out[inv] > 1)))  # only nodes inside a stretch can end a path there
-        return pa.table({"src_doc": s[cut, 0], "src_tid": s[cut, 1], "at": p[cut]})
+        into, out = np.bincount(inv, p & 1), np.bincount(inv, p >> 1 & 1)
+        cut = np.flatnonzero((p & 3 == 3) & ((into[inv] > 1) | (out[inv] > 1)))  # only nodes inside a stretch can end a path there
+        return pa.table({"src_doc": own[cut, 0], "src_tid": own[cut, 1], "at": (p[cut] >> 2).astype(np.int32)})
 
     graph = materialise(
         texts.join(asked, ["src_doc", "src_tid"]).select("src_doc", "src_tid", "text", "asked").mapInArrow(
-            cut_out, "src_doc long, src_tid long, sources array<struct<start:int,text:string>>, part int, node binary, way binary, src binary, at binary"
+            cut_out, "src_doc long, src_tid long, sources array<struct<start:int,text:string>>, part int, node binary, at binary, row binary, ids binary"
         ),
         "graph",
     )
-    cuts = graph.where("part is not null").select("part", "node", "way", "src", "at").groupBy("part").applyInArrow(branching, "src_doc long, src_tid long, at int")
+    cuts = graph.where("part is not null").select("part", "node", "at", "row", "ids").groupBy("part").applyInArrow(branching, "src_doc long, src_tid long, at int")
     cuts = cuts.groupBy("src_doc", "src_tid").agg(F.array_sort(F.collect_list("at")).alias("cuts"))
     joined = graph.where("part is null").select("src_doc", "src_tid", "sources").join(cuts, ["src_doc", "src_tid"], "left")
     inside = lambda a, e: F.filter(F.coalesce("cuts", F.array().cast("array<int>")), lambda c: (c > a) & (c < e))
@@ -402,7 +415,7 @@ def _evidence(runs: DataFrame, paths: DataFrame, k: int) -> DataFrame:
                         proof += (a - q["src_start"]).to_bytes(4, "little") + (stop - a).to_bytes(4, "little") + _digest(own)
                         a, j = stop, j + 1
                     rows.append((doc, tid, q["src_start"], q["n"], proof))
-            if rows:
+            if rows:  # a batch of short rows
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["src_doc", "src_tid", "src_start", "n", "proof"])
 
     told = paths.join(asked, ["src_doc", "src_tid"]).select("src_doc", "src_tid", "sources", "paths", "asked")
@@ -425,14 +438,13 @@ def remove_repeats(docs: DataFrame, k: int = 13, digest: bool = False, strong: b
     new = ("n_words", "n_removed", last)
     keep = [c for c in docs.columns if c not in (*new, "text")]
     kind = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    spark = docs.sparkSession
     runs = materialise(repeated_runs(docs, k, strong=strong), "runs")
     paths = materialise(repeated_paths(docs, runs, k), "paths")
     proofs = _evidence(runs, paths, k).groupBy("doc_id", "tid").agg(F.collect_list(F.struct("start", "n", "proof")).alias("__runs"))
     bloom = BlockedBloom(runs.select("doc_id").distinct(), "doc_id")  # other documents lose nothing and stay where they are
     text = F.col("text").cast("string")
     rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.col("doc_id").cast("long").alias("__id"), F.xxhash64(text).alias("__tid"), text.alias("__text"))
-    rows = rows.withColumn("__maybe", F.coalesce(bloom.may_hold(spark, F.col("__id")), F.lit(False)) & F.col("__id").isNotNull())
+    rows = bloom.mark(rows, F.col("__id"))
     cols = [f"c{i}" for i in range(len(keep))]
     none = F.lit(None).cast("array<struct<start:int,n:int,proof:binary>>").alias("__runs")
     stay = rows.where(~F.col("__maybe")).select(*cols, "__text", none)

@@ -9,10 +9,11 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import materialise
+
 WORDS, LANES = 4, 8  # a block is 4 longs; a URL sets 8 bits of its block
 
 
@@ -49,47 +50,43 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]], field
 
 
 class BlockedBloom:
-    """A blocked Bloom filter built by one partial and one final aggregation over the list."""
+    """A blocked Bloom filter built by one partial and one final aggregation over the list.
+
+    It is a table of at most ``max_bytes`` of blocks, whatever the list's length, and is probed in the JVM: by a broadcast
+    join on the block's number and a test of its bits.
+    """
 
     def __init__(self, keys: DataFrame, key: str, bits_per_key: int = 16, max_bytes: int = 16 << 20):
-        h = F.xxhash64(F.col(key))
-        n = keys.count()
-        self.blocks = max(1, min(max_bytes // (8 * WORDS), -(-n * bits_per_key // (64 * WORDS))))
-        g = F.xxhash64(F.col(key), F.lit(1))
-        sets = []
-        for w in range(WORDS):
-            bits = [F.when(self._word(g, i) == w, F.call_function("shiftleft", F.lit(1).cast("long"), self._bit(g, i))).otherwise(F.lit(0).cast("long")) for i in range(LANES)]
-            sets.append(F.bit_or(reduce(lambda a, b: a.bitwiseOR(b), bits)).alias(f"w{w}"))
-        got = keys.where(F.col(key).isNotNull()).groupBy(F.pmod(h, F.lit(self.blocks)).alias("block")).agg(*sets).toArrow()
-        self.table = np.zeros((self.blocks, WORDS), np.uint64)
-        for w in range(WORDS):
-            self.table[got["block"].to_numpy(), w] = got[f"w{w}"].to_numpy().astype(np.int64).view(np.uint64)
+        keys = keys.where(F.col(key).isNotNull())
+        self.blocks = max(1, min(max_bytes // (8 * WORDS), -(-keys.count() * bits_per_key // (64 * WORDS))))
+        sets = [F.bit_or(m).alias(f"__w{w}") for w, m in enumerate(self._masks(F.col(key)))]
+        self.frame = materialise(keys.groupBy(self._block(F.col(key)).alias("__block")).agg(*sets), "bloom")
 
-    @staticmethod
-    def _word(g: Column, i: int) -> Column:
-        return F.shiftrightunsigned(g, 8 * i).bitwiseAND(F.lit(255).cast("long")).bitwiseAND(F.lit(WORDS - 1).cast("long"))
+    def _block(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.blocks))
 
     @staticmethod
-    def _bit(g: Column, i: int) -> Column:
-        return F.shiftrightunsigned(g, 8 * i + 2).bitwiseAND(F.lit(63).cast("long")).cast("int")
-
-    def may_hold(self, spark, key: Column) -> Column:
-        shared, blocks = spark.sparkContext.broadcast(self.table), self.blocks
-
-        @F.pandas_udf("boolean")
-        def probe(h: pd.Series, g: pd.Series) -> pd.Series:
-            block = np.mod(h.to_numpy(np.int64), blocks)
-            x, ok = g.to_numpy(np.int64).view(np.uint64), np.ones(len(h), bool)
-            for i in range(LANES):
-                lane = (x >> np.uint64(8 * i)) & np.uint64(255)
-                if 8 * i + 2 + 6 > 64:
-                    lane = x >> np.uint64(8 * i)
-                word = (lane & np.uint64(WORDS - 1)).astype(np.int64)
-                bit = (x >> np.uint64(8 * i + 2)) & np.uint64(63)
-                ok &= (shared.value[block, word] >> bit) & np.uint64(1) == 1
-            return pd.Series(ok)
-
-        return probe(F.xxhash64(key), F.xxhash64(key, F.lit(1)))
+    def _masks(key: Column) -> list[Column]:
+        """The bits that a key sets, in each word of its block."""
+        g = F.xxhash64(key, F.lit(1))
+        word = lambda i: F.shiftrightunsigned(g, 8 * i).bitwiseAND(F.lit(WORDS - 1).cast("long"))
+        bit = lambda i: F.shiftrightunsigned(g, 8 * i + 2).bitwiseAND(F.lit(63).cast("long")).cast("int")
+        one = lambda w, i: F.when(word(i) == w, F.call_function("shiftleft", F.lit(1).cast("long"), bit(i))).otherwise(F.lit(0).cast("long"))
+        return [reduce(lambda a, b: a.bitwiseOR(b), [one(w, i) for i in range(LANES)]) for w in range(WORDS)]
+
+    def mark(self, df: DataFrame, key: Column, name: str = "__maybe") -> DataFrame:
+        """``df`` with a boolean column: false for a key that isn't in the list or is null, true for all that are in it
+        and for a few others."""
+        rows = df.withColumn("__block", F.when(key.isNotNull(), self._block(key)))
+        fits = reduce(lambda a, b: a & b, [F.col(f"__w{w}").bitwiseAND(m) == m for w, m in enumerate(self._masks(key))])
+        return rows.join(F.broadcast(self.frame), "__block", "left").withColumn(name, F.coalesce(fits, F.lit(False))).drop("__block", *(f"__w{w}" for w in range(WORDS)))
+
+    @property
+    def table(self) -> np.ndarray:
+        out, got = np.zeros((self.blocks, WORDS), np.uint64), self.frame.toArrow()
+        for w in range(WORDS):
+            out[got["__block"].to_numpy(), w] = got[f"__w{w}"].to_numpy().view(np.uint64)
+        return out
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame, url: str = "url", per_salt: int = 1 << 16, most_hot: int = 1000, max_bytes: int = 16 << 20) -> DataFrame:
@@ -102,7 +99,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame
     keys as it takes: the counts come from an aggregation of the possible hits.  The ``most_hot`` commonest ones are treated
     so; any other is on less than one row in ``most_hot``.
     """
-    spark, new = pages.sparkSession, ("host", "path", "rule", "verdict")
+    new = ("host", "path", "rule", "verdict")
     keep = [c for c in pages.columns if c not in new]
     u = F.col(f"`{url}`")
     base = pages.select(*(F.col(f"`{c}`") for c in keep), host_of(u).alias("host"), path_of(u).alias("path"))
@@ -111,7 +108,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame
     lu = F.col("url")
     keys = listed.select(canonical(host_of(lu), path_of(lu)).alias("__key")).where("__key <> ''").distinct()
     bloom = BlockedBloom(keys, "__key", max_bytes=max_bytes)
-    base = base.withColumn("__maybe", F.col("__ruled").isNull() & bloom.may_hold(spark, F.col("__key")))
+    base = bloom.mark(base, F.when(F.col("__ruled").isNull(), F.col("__key")))
     cols = [*keep, "host", "path", "rule"]
     sure = base.where(~F.col("__maybe")).select(*(F.col(f"`{c}`") for c in cols), F.coalesce("__ruled", F.lit("allow")).alias("verdict"))
     maybe = base.where("__maybe")
