@@ -59,6 +59,11 @@ def _minimisers(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, .
     return w, g, s, at[s], text[s], first[text[s]]
 
 
+def _route(g: np.ndarray) -> np.ndarray:
+    """Minimisers as spread over all 64-bit values: as minima they crowd at the low end."""
+    return mix64(g, 51)
+
+
 def _by_part(part: np.ndarray, arrays: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
     order = np.argsort(part, kind="stable")
     p = part[order]
@@ -98,7 +103,7 @@ def _shared(keyed: DataFrame, k: int, parts: int, bits: int) -> tuple[np.ndarray
                 if not len(at):
                     continue
                 new = np.r_[True, (at[1:] != at[:-1]) | (text[1:] != text[:-1])]
-                v, t = g[at[new]], text[new]
+                v, t = _route(g[at[new]]), text[new]
                 o = np.argsort(v, kind="stable")  # texts ascend, so a text's repeats are neighbours
                 v, t = v[o], t[o]
                 got.append(v[np.r_[True, (v[1:] != v[:-1]) | (t[1:] != t[:-1])]])
@@ -195,7 +200,7 @@ def _candidates(keyed: DataFrame, k: int, bitmap, hot, bits: int, parts: int, st
                 w, g, s, at, text, word0 = _minimisers(buf, off, k)
                 if not len(s):
                     continue
-                v = g[at]
+                v = _route(g[at])
                 top = (v >> U64(64 - bits)).astype(np.int64)
                 hit = (known[top >> 3] >> (7 - (top & 7)).astype(np.uint8)) & 1 == 1
                 if len(most):
