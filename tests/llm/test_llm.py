@@ -229,6 +229,27 @@ def test_topk_edges(spark, monkeypatch):
     assert topk.top_products(v.where("vec_id = 1"), v.where("vec_id = 1")).count() == 0
 
 
+@pytest.mark.parametrize("shard,queries,roots", [(1 << 14, 1 << 10, 1 << 14), (64, 8, 1 << 14), (64, 8, 5)])
+def test_topk_of_clustered_vectors_avoids_most_distances(spark, monkeypatch, shard, queries, roots):
+    monkeypatch.setattr(topk, "SHARD", shard)
+    monkeypatch.setattr(topk, "QUERIES", queries)
+    monkeypatch.setattr(topk, "ROOTS", roots)
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(20, 16))
+    x = np.concatenate([c / np.linalg.norm(c) * 200 + rng.normal(0, 2, (100, 16)) for c in centre]).round().astype(int)
+    rows = [(i, v.tolist(), "clash") for i, v in enumerate(x)]
+    v = spark.createDataFrame(rows, "vec_id long, x array<long>, tree string")
+    got = topk._found(v, v.where("vec_id % 40 = 0"), 5).collect()
+    best = {}
+    for r in got:
+        if r.vec_id is not None:
+            best.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    for i in range(0, len(x), 40):
+        s = x @ x[i]
+        assert sorted(best[i])[:5] == sorted((-int(s[j]), j) for j in range(len(x)) if j != i)[:5]
+    assert sum(r.done for r in got) < 0.5 * len(x) * len(best)
+
+
 # --- 3: Jaccard join ---------------------------------------------------------------------------
 
 
