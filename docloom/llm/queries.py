@@ -19,6 +19,7 @@ def vocabulary(name: str) -> str:
 
 
 def held_out(modulus: int, fold: int):
+    """Whether a row is in the fold that isn't learned from; null for a null doc_id, which is in no fold."""
     from docloom.llm.common import crc_mod
 
     return (crc_mod("doc_id", modulus) == fold).alias("held_out")

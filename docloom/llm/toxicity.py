@@ -22,7 +22,7 @@ from docloom.llm.common import ALNUM, U64, labelled_sample, mix64, slices, word_
 DIM, FILTERS, WIDTHS, LOG_ROWS = 8, 8, (1, 2, 3), 18
 PREFIXES = (4, 5, 6)
 MIN_DOCS = 3
-PAD = max(WIDTHS) - 1
+PAD = max(WIDTHS)  # rows after each text, so that no window that counts reaches into the next one
 
 
 @dataclass
@@ -67,8 +67,9 @@ def _convolve(m: Model, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pool(out: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Maxima over each text's windows; those that start in its padding see only zeros or its last words' tails."""
-    return np.maximum.reduceat(out, begin, axis=0)
+    """Maxima over the windows that start at each text's words or at its first padding row, which sees only zeros."""
+    end = np.r_[begin[1:], len(out)] - PAD + 1
+    return np.maximum.reduceat(out, np.stack([begin, end], 1).ravel(), axis=0)[::2]
 
 
 def logits(m: Model, rows: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -108,8 +109,9 @@ def best_threshold(p: np.ndarray, y: np.ndarray, default: float) -> float:
     return float((ps[k] + (ps[k + 1] if k + 1 < len(ps) else 0)) / 2)
 
 
-def train(texts: list[str], y: np.ndarray, langs: list[str | None], seed: int = 7, batch: int = 32, visits: int = 16_000) -> Model:
-    """Fit on whole texts.  Without rows of both classes the model gives the share of label 1 (a half if no rows)."""
+def train(texts: list[str], y: np.ndarray, langs: list[str | None], seed: int = 7, batch: int = 32, visits: int = 16_000, epochs: int | None = None) -> Model:
+    """Fit on whole texts, in as many epochs as make ``visits`` of rows (8 to 60) unless told.  Without rows of both classes
+    the model gives the share of label 1 (a half if no rows)."""
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 0.05, ((1 << LOG_ROWS) + 1, DIM)).astype(np.float32)
     embed[-1] = 0
@@ -144,7 +146,7 @@ def train(texts: list[str], y: np.ndarray, langs: list[str | None], seed: int =
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in (("conv", m.conv), ("bias", m.bias), ("out", m.out))}
     seen = np.full(len(embed), 1e-6, np.float32)
     t = 0
-    epochs = int(np.clip(visits // len(fit), 8, 60))
+    epochs = int(np.clip(visits // len(fit), 8, 60)) if epochs is None else epochs
     for epoch in range(epochs):
         rate = 0.5 ** (3 * epoch / epochs)
         perm = rng.permutation(fit)
@@ -211,8 +213,9 @@ def scores(docs: DataFrame, model: Model, text: str = "text", lang: str | None =
     """``docs`` without its text, with ``score`` (0 to 1) and ``flagged`` (score against the language's threshold).
 
     Whole texts are read, null ones as empty; an empty text gets the score of no words.  A null or unknown language
-    has the common threshold.  Rows stay, repeated ones too; clashing columns are replaced.  One narrow pass; the
-    model broadcast is about 4 MB whatever the corpus.
+    has the common threshold.  Rows stay, repeated ones too, those with a null doc_id as well; clashing columns are
+    replaced.  A score that ties with a threshold is flagged.  One narrow pass; the model broadcast is about 8 MB whatever
+    the corpus.
     """
     new = ("score", "flagged")
     keep = [c for c in docs.columns if c not in (*new, text)]
