@@ -6,8 +6,11 @@ points, 0-based, ends exclusive.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from docloom.functions.text import preview, trim_u
 from docloom.functions.vectors import similarity
@@ -38,37 +41,47 @@ def chunk_size(model: str, domains: list[Domain] | None = None) -> int:
     return int((context_limit(model) - prompt_overhead(domains)) * 0.75)
 
 
-def _smart_end(text: Column, start: Column, end: Column, half: int) -> Column:
-    """The last paragraph, sentence or word break at or before ``end`` within reach and past the chunk's middle."""
-    lo = F.greatest(end - 200, start + half)
-    r = F.substr(text, lo + 1, end - lo)
+def _smart_end(window: Column, half: int) -> Column:
+    """How much of a window stays: up to the last paragraph, sentence or word break within reach of its end and past the
+    chunk's middle."""
+    n = F.length(window)
+    lo = F.greatest(n - 200, F.lit(half))
+    r = F.substr(window, lo + 1, n - lo)
     last_space = F.instr(F.reverse(r), " ")
     word = F.when(last_space > 0, lo + F.length(r) - last_space + 1)
     sentence = F.length(F.regexp_extract(r, r"(?s)^(.*[.!?]\n)", 1))
     paragraph = F.length(F.regexp_extract(r, r"(?s)^((?:.*?\n\n)+)", 1))
     best = F.greatest(word, F.when(sentence > 0, lo + sentence), F.when(paragraph > 0, lo + paragraph))
-    return F.when((end > lo) & (best > start + half), best).otherwise(end)
+    return F.when((n > lo) & (best > half), best).otherwise(n)
 
 
 def model_aware(docs: DataFrame, size: int, overlap: int = 400, most: int | None = None, smart: bool = True) -> DataFrame:
     """Windows of ``size`` characters at a stride of size - overlap, all or the first ``most``, ends pulled to a break.
 
-    Starts don't depend on moved ends.  A document without text has no chunk.
+    Starts don't depend on moved ends.  A document without text has no chunk.  The text is cut once into pieces of a
+    stride each, of which a window takes the few it needs, so the work is linear in the text.
     """
     step = size - overlap
     if step <= 0:
         raise ValueError("the overlap must be smaller than the size")
-    n = F.length("text")
-    count = F.floor(n / step).cast("int") + 1
+    others = [c for c in docs.columns if c != "text"]
+    rows = settle(docs.where(F.length("text") > 0), n=F.length("text"), pieces=F.regexp_extract_all("text", F.lit(f"(?s).{{1,{step}}}"), 0)).drop("text")
+    count = F.lit(1) + F.ceil(F.greatest(F.col("n") - size, F.lit(0)) / step).cast("int")
     count = count if most is None else F.least(F.lit(most), count)
-    rows = docs.where(n > 0).withColumn("chunk_id", F.explode(F.sequence(F.lit(0), count - 1)))
-    rows = rows.withColumn("start", F.col("chunk_id") * step).withColumn("raw", F.least(F.col("start") + size, n))
-    rows = rows.where((F.col("start") < n) & ((F.col("chunk_id") == 0) | (F.col("start") - step + size < n)))
-    end = F.when(F.col("raw") < n, _smart_end(F.col("text"), F.col("start"), F.col("raw"), size // 2)).otherwise(F.col("raw")) if smart else F.col("raw")
-    rows = rows.withColumn("end", end.cast("int"))
-    return rows.select(
-        *[c for c in docs.columns if c != "text"], "chunk_id", "start", "end", F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"), (F.col("chunk_id") > 0).alias("overlap_start"), (F.col("end") < n).alias("overlap_end")
-    )
+    window = lambda i: F.substr(F.array_join(F.slice("pieces", i + 1, F.lit(-(-size // step))), ""), F.lit(1), F.lit(size))
+    rows = rows.select(*others, "n", F.posexplode(F.transform(F.sequence(F.lit(0), count - 1), window)).alias("chunk_id", "window"))
+    rows = rows.withColumn("start", F.col("chunk_id") * step)
+    inner = F.col("start") + F.length("window") < F.col("n")
+    keep = F.when(inner, _smart_end(F.col("window"), size // 2)).otherwise(F.length("window")) if smart else F.length("window")
+    rows = settle(rows, kept=keep)
+    end = (F.col("start") + F.col("kept")).cast("int")
+    return rows.select(*others, "chunk_id", "start", end.alias("end"), F.substr("window", F.lit(1), F.col("kept")).alias("text"), (F.col("chunk_id") > 0).alias("overlap_start"), (end < F.col("n")).alias("overlap_end"))
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _before(sizes: pd.Series) -> pd.Series:
+    """For each of a row's sizes the sum of those before it; only sizes travel."""
+    return pd.Series([np.r_[0, np.cumsum(x)][:-1].astype(np.int32) if x is not None and len(x) else np.zeros(0, np.int32) for x in sizes])
 
 
 def by_lines(docs: DataFrame, per: int = 10) -> DataFrame:
@@ -76,10 +89,11 @@ def by_lines(docs: DataFrame, per: int = 10) -> DataFrame:
     lines = settle(docs, lines=F.split("text", "\n"))
     count = F.ceil(F.size("lines") / per).cast("int")
     chunks = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice("lines", i * per + 1, F.lit(per)), "\n"))
-    rows = settle(lines, chunks=chunks)
-    rows = settle(rows, sizes=F.transform("chunks", F.length)).select(*[c for c in docs.columns if c != "text"], "sizes", F.posexplode("chunks").alias("chunk_id", "text"))
-    before = F.aggregate(F.slice("sizes", F.lit(1), F.col("chunk_id")), F.lit(0), lambda s, x: s + x) + F.col("chunk_id")
-    return rows.withColumn("start", before).withColumn("end", F.col("start") + F.length("text")).select(*[c for c in docs.columns if c != "text"], "chunk_id", "start", "end", "text")
+    others = [c for c in docs.columns if c != "text"]
+    rows = settle(lines, chunks=chunks).select(*others, "chunks")
+    rows = rows.withColumn("starts", _before(F.transform("chunks", lambda c: F.length(c) + 1)))
+    rows = rows.select(*others, F.posexplode(F.arrays_zip("chunks", "starts")).alias("chunk_id", "c"))
+    return rows.select(*others, "chunk_id", F.col("c.starts").alias("start"), (F.col("c.starts") + F.length("c.chunks")).alias("end"), F.col("c.chunks").alias("text"))
 
 
 def _numbered(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -136,20 +150,28 @@ def with_distances(docs: DataFrame, percentile: float, embedder: Embedder | None
     return settle(rows, boundaries=F.filter(over, lambda b: b.isNotNull()))
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _accepted(sizes: pd.Series, boundaries: pd.Series, least: pd.Series) -> pd.Series:
+    """0 and the boundaries that are accepted, from left to right: the sentences since the last one and those after it,
+    joined by spaces, must have ``least`` characters each.  Only sizes travel."""
+    out = []
+    for size, some, need in zip(sizes, boundaries, least):
+        total = np.r_[0, np.cumsum(size + 1)] if size is not None and len(size) else np.zeros(1, np.int64)  # each with a space after it
+        cuts, end = [0], int(total[-1])
+        for b in some if some is not None else ():
+            if total[b] - total[cuts[-1]] - 1 >= need and end - total[b] - 1 >= need:
+                cuts.append(int(b))
+        out.append(cuts)
+    return pd.Series(out)
+
+
 def by_percentile(docs: DataFrame, percentile: float = 90, embedder: Embedder | None = None, least: int = LEAST, most: int = MOST) -> DataFrame:
     """Chunks between sentences that are unlike: a boundary is accepted, from left to right, if both the text since the
     last one and the text after it have ``least`` characters; chunks of other than ``least`` to ``most`` are dropped.
     ``dropped`` counts these.  Chunk text is the sentences joined by spaces, so periods at cuts are lost."""
     rows = with_distances(docs, percentile, embedder)
-    rows = settle(rows, sizes=F.transform("sentences", F.length))
-
-    def span(a: Column, b: Column) -> Column:  # length of sentences a..b-1 joined by spaces
-        return F.aggregate(F.slice("sizes", a + 1, F.greatest(b - a, F.lit(0))), F.lit(0), lambda s, x: s + x) + F.greatest(b - a - 1, F.lit(0))
-
-    start = F.array(F.lit(0))
-    total = F.size("sizes")
-    accept = lambda acc, b: F.when((span(F.element_at(acc, -1), b) >= least) & (span(b, total) >= least), F.array_append(acc, b)).otherwise(acc)
-    rows = settle(rows, cuts=F.aggregate("boundaries", start, accept))
+    rows = rows.withColumn("cuts", _accepted(F.transform("sentences", F.length), F.col("boundaries"), F.lit(least)))
+    total = F.size("sentences")
     ends = F.concat(F.slice("cuts", 2, 1 << 30), F.array(total))
     part = F.zip_with("cuts", ends, lambda a, b: F.struct(a.alias("a"), F.array_join(F.slice("sentences", a + 1, F.greatest(b - a, F.lit(0))), " ").alias("text")))
     placed = F.transform(part, lambda p: F.struct((F.instr("text", F.element_at("sentences", p["a"] + 1)) - 1).alias("start"), p["text"].alias("text")))
@@ -163,11 +185,12 @@ def by_percentile(docs: DataFrame, percentile: float = 90, embedder: Embedder |
 def word_windows(docs: DataFrame, size: int = 200, overlap: int = 50, most: int | None = None) -> DataFrame:
     """Windows of ``size`` words at a stride of size - overlap: all of them, or for the text of a page the first ``most``."""
     step = size - overlap
-    words = docs.withColumn("words", F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    others = [c for c in docs.columns if c != "text"]
+    rows = settle(docs, words=F.filter(F.split("text", r"\s+"), lambda w: w != "")).where(F.size("words") > 0)
     count = F.ceil(F.size("words") / step).cast("int")
     count = count if most is None else F.least(F.lit(most), count)
-    rows = words.where(F.size("words") > 0).select(*[c for c in docs.columns if c != "text"], "words", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk_id"))
-    return rows.withColumn("text", F.array_join(F.slice("words", F.col("chunk_id") * step + 1, F.lit(size)), " ")).drop("words")
+    window = lambda i: F.array_join(F.slice("words", i * step + 1, F.lit(size)), " ")
+    return rows.select(*others, F.posexplode(F.transform(F.sequence(F.lit(0), count - 1), window)).alias("chunk_id", "text"))
 
 
 STRATEGIES = {"percentile": by_percentile, "section": by_sections, "line": by_lines}

@@ -19,45 +19,42 @@ def top_k(vectors: DataFrame, query: list[float], k: int, least: float | None =
     return best if least is None else best.where(F.col("score") >= least)
 
 
-def top_k_join(queries: DataFrame, vectors: DataFrame, k: int, least: float, query_rows: int = 64) -> DataFrame:
+def top_k_join(queries: DataFrame, vectors: DataFrame, k: int, least: float, query_rows: int = 8192, vector_rows: int = 16_384) -> DataFrame:
     """For each query (query_id, q) the ``k`` best rows of ``vectors`` (id, embedding) with at least ``least``.
 
-    Queries are packed into blocks of ``query_rows``; a block is a row that meets each vector partition once, and each
-    task keeps only its own k best per query before anything is shuffled.
+    Blocks of queries meet blocks of vectors in a grid, one matrix product each, and give at most ``k`` rows per query; all
+    of the grid is one job, and nothing but two counts comes to the driver.
     """
     import numpy as np
     import pyarrow as pa
 
-    blocks = queries.count()
-    packed = queries.select("query_id", F.transform("q", lambda x: x.cast("double")).alias("q"))
-    parts = []
-    n = max(1, -(-blocks // query_rows))
-    for b in range(n):
-        own = packed.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).toArrow() if n > 1 else packed.toArrow()
-        ids, mat = own["query_id"].to_pylist(), np.array(own["q"].to_pylist(), float)
-        shared = queries.sparkSession.sparkContext.broadcast((ids, mat))
-
-        def run(batches, shared=shared):
-            ids, mat = shared.value
-            held: dict = {i: [] for i in ids}
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                vid = batch.column(0).to_pylist()
-                x = np.array(batch.column(1).to_pylist(), float)
-                s = np.round(mat @ x.T, PLACES)
-                for r, i in enumerate(ids):
-                    own = [(-float(s[r, c]), vid[c]) for c in np.flatnonzero(s[r] >= least)]
-                    if own:
-                        held[i] = sorted(held[i] + own)[:k]
-            rows = [(i, v, -s) for i, found in held.items() for s, v in found]
-            if rows:
-                yield pa.record_batch([pa.array(c) for c in zip(*rows)], ["query_id", "id", "score"])
-
-        parts.append(vectors.select("id", "embedding").mapInArrow(run, "query_id long, id long, score double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    across, down = max(1, -(-queries.count() // query_rows)), max(1, -(-vectors.count() // vector_rows))
+    place = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    double = lambda c: F.transform(c, lambda x: x.cast("double"))
+    left = queries.select("query_id", double("q").alias("q"), place("query_id", across).alias("a"), every(down).alias("b"))
+    right = vectors.select("id", double("embedding").alias("v"), every(across).alias("a"), place("id", down).alias("b"))
+
+    def matrix(col: pa.ChunkedArray) -> np.ndarray:
+        flat = col.combine_chunks()
+        return flat.flatten().to_numpy().reshape(len(flat), -1)
+
+    def run(q: pa.Table, v: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if q.num_rows and v.num_rows:
+            ids, vid, mat, x = q["query_id"].to_pylist(), v["id"].to_numpy(), matrix(q["q"]), matrix(v["v"])
+            for a in range(0, len(ids), 256):
+                s = np.round(mat[a : a + 256] @ x.T, PLACES)
+                for r in range(len(s)):
+                    hit = np.flatnonzero(s[r] >= least)
+                    if len(hit) > k:  # those as good as the k-th, which may be more than k
+                        hit = hit[s[r, hit] >= np.partition(s[r, hit], -k)[-k]]
+                    best = hit[np.lexsort((vid[hit], -s[r, hit]))][:k]
+                    out += zip([ids[a + r]] * len(best), vid[best].tolist(), s[r, best].tolist())
+        cols = list(zip(*out)) or [(), (), ()]
+        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+
+    out = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(run, "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -25,7 +25,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; those with texts in at least as many partitions as there are cores.
+
+    A file of a single row group would have all work on its texts done by one core.  Tables with enough row groups, as any
+    large one has, are read as they are.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in ("documents", "conversations") and df.rdd.getNumPartitions() < cores else df
 
 
 def trim_sql(x: str) -> str:

@@ -125,14 +125,15 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*", most_bytes: i
     A file is rejected for its size, its extension, an error in parsing, or blank text; the reason is its ``error``.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    files = files.select("path", "length", "content", extension(F.col("path")).alias("ext"))
+    files = files.withColumn("ext", extension(F.col("path")))
+    # the size is a filter of its own, which the scan applies before it opens a file; what is refused is never read
     why = F.when(F.col("length") > most_bytes, F.lit("too large")).when(~F.col("ext").isin(*EXTENSIONS), F.lit("unsupported extension"))
-    files = files.withColumn("why", why)
-    refused = files.where("why is not null").select(F.col("path").alias("source_file"), F.substring("ext", 2, 10).alias("file_type"), F.lit(None).cast("string").alias("content"), F.create_map().cast("map<string,string>").alias("metadata"), F.col("why").alias("error"))
-    plain = files.where("why is null").where(F.col("ext").isin(".md", ".txt"))
+    refused = files.where((F.col("length") > most_bytes) | ~F.col("ext").isin(*EXTENSIONS)).withColumn("why", why).select(F.col("path").alias("source_file"), F.substring("ext", 2, 10).alias("file_type"), F.lit(None).cast("string").alias("content"), F.create_map().cast("map<string,string>").alias("metadata"), F.col("why").alias("error"))
+    files = files.where(F.col("length") <= most_bytes).select("path", "ext", "content")
+    plain = files.where(F.col("ext").isin(".md", ".txt"))
     text = decoded(F.col("content"))
     read = plain.select(F.col("path").alias("source_file"), F.substring("ext", 2, 10).alias("file_type"), text.alias("content"), F.create_map(F.lit("line_count"), F.size(F.split(text, "\n")).cast("string"), F.lit("char_count"), F.length(text).cast("string")).alias("metadata"), F.lit(None).cast("string").alias("error"))
-    other = files.where("why is null").where(F.col("ext").isin(*PARSERS)).select("path", "ext", "content").mapInPandas(_parse, SCHEMA)
+    other = files.where(F.col("ext").isin(*PARSERS)).mapInPandas(_parse, SCHEMA)
     every = read.unionByName(other).withColumn("content", cleanup_text(F.col("content")))
     every = every.withColumn("error", F.when(F.col("error").isNull() & ~F.coalesce(valid_text(F.col("content")), F.lit(False)), F.lit("blank or too large")).otherwise(F.col("error")))
     return every.where("error is null").drop("error"), every.where("error is not null").unionByName(refused).select("source_file", "file_type", "error")
