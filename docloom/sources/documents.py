@@ -45,14 +45,12 @@ Parser = Callable[[bytes], tuple[str, dict[str, str]]]
 
 
 def _pdf(data: bytes) -> tuple[str, dict[str, str]]:
-    import fitz
-
-    with fitz.open(stream=data, filetype="pdf") as doc:
-        if doc.needs_pass:
-            raise ValueError("encrypted")
-        pages = [p.get_text() for p in doc]
-        full = [p for p in pages if p.strip()]
-        return "\n\n".join(full), {"page_count": str(len(pages)), "pages_with_text": str(len(full))}
+    """Page texts, blank pages left out; an encrypted file is refused."""
+    from docloom.sources.pages import read_pages
+
+    pages = [str(p["text"]) for p in read_pages(data)]
+    full = [p for p in pages if p.strip()]
+    return "\n\n".join(full), {"page_count": str(len(pages)), "pages_with_text": str(len(full))}
 
 
 def _docx(data: bytes) -> tuple[str, dict[str, str]]:
