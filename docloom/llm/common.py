@@ -121,6 +121,14 @@ def parts_for(n_bytes: float, per_part: int = 16 << 20, least: int = 8) -> int:
     return int(max(least, -(-n_bytes // per_part)))
 
 
+def sized(df: DataFrame, n_bytes: float, *keys: str, per_part: int = 32 << 20) -> DataFrame:
+    """``df`` by its keys in partitions of about ``per_part`` bytes, where the session's number of shuffle partitions would make
+    larger ones; what is grouped or joined by these keys next isn't moved again.  Smaller data is left to adaptive
+    execution."""
+    n = parts_for(n_bytes, per_part, 1)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 # --- Arrow -----------------------------------------------------------------------------------
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import U64, discard, grams, materialise, mix64, parts_for, slices, total_bytes, word_hashes, word_spans
+from docloom.llm.common import U64, discard, grams, materialise, mix64, parts_for, slices, sized, total_bytes, word_hashes, word_spans
 from docloom.llm.urlfilter import BlockedBloom
 
 SHORT = 5  # words of a minimiser
@@ -133,7 +133,8 @@ def _shared(keyed: DataFrame, k: int, parts: int, bits: int) -> tuple[np.ndarray
         for s, x in own.items():
             yield pa.record_batch([pa.array([s], pa.int32()), pa.array([np.packbits(x).tobytes()], pa.binary())], ["segment", "bits"])
 
-    met = materialise(keyed.mapInArrow(send, "part int, g binary, n binary").groupBy("part").applyInArrow(meet, "segment int, top binary, hot binary, n binary, total long"), "minimisers")
+    sent = sized(keyed.mapInArrow(send, "part int, g binary, n binary"), parts * (1 << 20), "part")
+    met = materialise(sent.groupBy("part").applyInArrow(meet, "segment int, top binary, hot binary, n binary, total long"), "minimisers")
     least = max(HOT_LEAST, (met.agg(F.sum("total")).first()[0] or 0) // HOT_MOST)
     hot = [np.zeros(0, U64)]
     for r in met.where("segment = -1 and length(hot) > 0").select("hot", "n").toLocalIterator():
@@ -266,7 +267,7 @@ def repeated_runs(docs: DataFrame, k: int = 13, max_bits: int = 28, strong: bool
     bits = max(20, min(max_bits, (4 * size).bit_length()))
     flags, most = _shared(keyed, k, parts, bits)
     bitmap, hot = spark.sparkContext.broadcast(flags), spark.sparkContext.broadcast(most)
-    pieces = _candidates(keyed, k, bitmap, hot, bits, parts, strong, False).groupBy("part").applyInArrow(_meet, _PIECE)
+    pieces = sized(_candidates(keyed, k, bitmap, hot, bits, parts, strong, False), 2 * size, "part").groupBy("part").applyInArrow(_meet, _PIECE)
     if len(most):
         windows = _candidates(keyed, k, bitmap, hot, bits, parts, strong, True)
         first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "tid", "pos")).alias("s"), F.max("doc_id").alias("last")).where("last > s.doc_id").drop("last")
@@ -288,7 +289,7 @@ def repeated_runs(docs: DataFrame, k: int = 13, max_bits: int = 28, strong: bool
             own = pa.array(row[at])
             yield pa.record_batch([b.column(0).take(own), b.column(1).take(own), pa.array(start[at]), pa.array(total), pa.array(sd[at]), pa.array(st[at]), pa.array(sp[at])], [c.split()[0] for c in _PIECE.split(", ")])
 
-    by_doc = pieces.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("start", "n", "src_doc", "src_tid", "src_start")).alias("pieces"))
+    by_doc = sized(pieces, size, "doc_id", "tid").groupBy("doc_id", "tid").agg(F.collect_list(F.struct("start", "n", "src_doc", "src_tid", "src_start")).alias("pieces"))
     return by_doc.mapInArrow(merge, _PIECE)
 
 
@@ -368,12 +369,13 @@ def repeated_paths(docs: DataFrame, runs: DataFrame, k: int = 13) -> DataFrame:
         return pa.table({"src_doc": own[cut, 0], "src_tid": own[cut, 1], "at": (p[cut] >> 2).astype(np.int32)})
 
     graph = materialise(
-        texts.join(asked, ["src_doc", "src_tid"]).select("src_doc", "src_tid", "text", "asked").mapInArrow(
+        sized(texts, total_bytes(docs), "src_doc", "src_tid").join(asked, ["src_doc", "src_tid"]).select("src_doc", "src_tid", "text", "asked").mapInArrow(
             cut_out, "src_doc long, src_tid long, sources array<struct<start:int,text:string>>, part int, node binary, at binary, row binary, ids binary"
         ),
         "graph",
     )
-    cuts = graph.where("part is not null").select("part", "node", "at", "row", "ids").groupBy("part").applyInArrow(branching, "src_doc long, src_tid long, at int")
+    cuts = graph.where("part is not null").select("part", "node", "at", "row", "ids")
+    cuts = sized(cuts, total_bytes(docs), "part").groupBy("part").applyInArrow(branching, "src_doc long, src_tid long, at int")
     cuts = cuts.groupBy("src_doc", "src_tid").agg(F.array_sort(F.collect_list("at")).alias("cuts"))
     joined = graph.where("part is null").select("src_doc", "src_tid", "sources").join(cuts, ["src_doc", "src_tid"], "left")
     inside = lambda a, e: F.filter(F.coalesce("cuts", F.array().cast("array<int>")), lambda c: (c > a) & (c < e))
@@ -453,7 +455,7 @@ def remove_repeats(docs: DataFrame, k: int = 13, digest: bool = False, strong: b
     cols = [f"c{i}" for i in range(len(keep))]
     none = F.lit(None).cast("array<struct<start:int,n:int,proof:binary>>").alias("__runs")
     stay = rows.where(~F.col("__maybe")).select(*cols, "__text", none)
-    go = rows.where("__maybe").join(proofs, (F.col("__id") == proofs["doc_id"]) & (F.col("__tid") == proofs["tid"]), "left").select(*cols, "__text", "__runs")
+    go = sized(rows.where("__maybe"), total_bytes(docs), "__id", "__tid").join(proofs, (F.col("__id") == proofs["doc_id"]) & (F.col("__tid") == proofs["tid"]), "left").select(*cols, "__text", "__runs")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
