@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import chunk_queries, entity_queries, graph_queries, layout_queries, service_queries, stream_queries, vector_queries  # noqa: F401 - modules register their queries
+from docloom.plans import chunk_queries, entity_queries, file_queries, graph_queries, layout_queries, service_queries, stream_queries, vector_queries  # noqa: F401 - modules register their queries
 from docloom.plans.catalog import QUERIES, SQL
 
 
