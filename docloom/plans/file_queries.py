@@ -22,7 +22,9 @@ from docloom.plans.entity_queries import _MENTIONS, _RAW, _raw_events
 from docloom.plans.graph_queries import PARTS, parts
 from docloom.plans.stream_queries import _shared
 from docloom.sources import documents as D
+from docloom.sources import pages as P
 from docloom.sources import sinks as K
+from docloom.sources.pdf import write_text
 from docloom.streaming import refresh as R
 
 
@@ -200,3 +202,81 @@ def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = p.where("k <> 0").select("path", F.lit(1).alias("modified"))
     after = p.where("k <> 1").select("path", F.when(F.col("k") == 2, F.lit(2)).otherwise(F.lit(1)).alias("modified"))
     return R.changes(before, after.union(after))
+
+
+# --- PDF -----------------------------------------------------------------------------------------
+
+
+def _pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each region (path, content): a page for each of its nations, of two lines, and the names as outline."""
+
+    def make(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            files = [write_text([[name, f"page of {name}"] for name in names], [(name, i) for i, name in enumerate(names)]) for names in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array(files, pa.binary())], ["path", "content"])
+
+    names = table(spark, sf_dir, "nation").groupBy(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("path")).agg(F.array_sort(F.collect_list("n_name")).alias("names"))
+    return names.mapInArrow(make, "path string, content binary")
+
+
+_NTH = "SELECT 'r' || n_regionkey AS source_file, n_name, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 AS INTEGER) AS page FROM nation"
+
+
+@query(f"SELECT source_file, page, n_name || chr(10) || 'page of ' || n_name AS text, 595.0::DOUBLE AS width, round(1200 / 595.0, 6)::DOUBLE AS zoom FROM ({_NTH})")
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.scan(_pdfs(spark, sf_dir), P.read_pages, P.PAGES).select("source_file", "page", "text", "width", F.round("zoom", 6).alias("zoom"))
+
+
+@query(f"SELECT source_file, page AS ord, 1 AS level, n_name AS title, page + 1 AS page FROM ({_NTH})")
+def pdf_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.scan(_pdfs(spark, sf_dir), P.read_outline, P.OUTLINE).select("source_file", "ord", "level", "title", "page")
+
+
+@query(f"SELECT source_file, page, ord, CASE ord WHEN 0 THEN n_name ELSE 'page of ' || n_name END AS text, CAST(CASE ord WHEN 0 THEN 16 ELSE 11 END AS DOUBLE) AS font_size, CASE ord WHEN 0 THEN 16 ELSE 0 END AS flags FROM ({_NTH}), (VALUES (0), (1)) o(ord)")
+def pdf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.scan(_pdfs(spark, sf_dir), P.read_lines, P.LINES).select("source_file", "page", "ord", "text", "font_size", "flags")
+
+
+@query("""WITH n AS (SELECT n_regionkey AS k, list(n_name ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey)
+SELECT 'r' || k AS path, s AS section, CASE WHEN s = 0 THEN array_to_string(list_transform(names[2:3], lambda x: x || chr(10) || 'page of ' || x), chr(12)) END AS text,
+CASE s WHEN 1 THEN 'ValueError: start after end' WHEN 2 THEN 'ValueError: out of range' END AS error FROM n, (VALUES (0), (1), (2)) t(s)""")
+def pdf_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page ranges as files of their own, read again; ranges that can't be are refused."""
+    files = _pdfs(spark, sf_dir)
+    wanted = files.select("path").join(spark.createDataFrame([(0, 1, 2), (1, 2, 1), (2, 3, 99)], "section int, start_page int, end_page int"))
+    cut = P.cut_pages(files, wanted)
+    read = P.scan(cut.where("error is null").select(F.concat_ws("/", "path", F.col("section").cast("string")).alias("path"), "content"), P.read_pages, P.PAGES)
+    text = read.groupBy("source_file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\f").alias("text"))
+    return cut.join(text, F.concat_ws("/", "path", F.col("section").cast("string")) == F.col("source_file"), "left").select("path", "section", "text", "error")
+
+
+@query(f"SELECT source_file, page, CASE WHEN page % 2 = 0 THEN 'Text' END AS label, CASE WHEN page % 2 = 1 THEN 'ValueError: page ' || page END AS error FROM ({_NTH})")
+def layout_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes by a stand-in for a layout model that fails on every second page: those are rows with an error."""
+
+    def reader(data: bytes):
+        pages = iter(range(1_000_000))
+
+        def detect(images):
+            if len(images) > 1:
+                raise ValueError("one at a time")
+            n = next(pages)
+            if n % 2:
+                raise ValueError(f"page {n}")
+            return [[{"x1": 0.0, "y1": 0.0, "x2": 1.0, "y2": 1.0, "label": "Text", "confidence": 0.9}]]
+
+        return P.layout_reader(detect)(data)
+
+    return P.scan(_pdfs(spark, sf_dir), reader, P.BOXES).select("source_file", "page", "label", "error")
+
+
+@query("""SELECT 'r' || n_regionkey AS source_file, string_agg(n_name || chr(10) || 'page of ' || n_name, chr(10) || chr(10) ORDER BY n_name) AS content, CAST(count(*) AS VARCHAR) AS pages FROM nation GROUP BY n_regionkey""")
+def pdf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PDF files through the document reader."""
+    at = _place(spark, "pdf")
+    for r in _pdfs(spark, sf_dir).toLocalIterator():  # five small files
+        _put(spark, f"{at}/{r.path}.pdf", bytes(r.content))
+    docs = D.read_files(spark, at, "*.pdf")[0]
+    return docs.select(F.regexp_extract("source_file", "([^/]*).pdf$", 1).alias("source_file"), "content", F.col("metadata")["page_count"].alias("pages"))

@@ -360,3 +360,29 @@ class Pdf:
         data += b"xref\n0 1\n0000000000 65535 f \n" + b"".join(b"%d 1\n%010d 00000 n \n" % (n, at[n]) for n in sorted(out))
         data += b"trailer\n<</Size %d /Root 1 0 R>>\nstartxref\n%d\n%%%%EOF\n" % (max(out) + 1, place)
         return bytes(data)
+
+
+def write_text(pages: list[list[str]], titles: list[tuple[str, int]] = ()) -> bytes:
+    """A plain file of text pages (Latin-1 lines in a standard font, the first one bold), with an outline of (title, page from 0)."""
+    hexed = lambda t: b"<" + t.encode("latin-1", "replace").hex().encode() + b">"
+    n = len(pages)
+    out = {2: b"<</Type /Pages /MediaBox [0 0 595 842] /Count %d /Kids [%s]>>" % (n, b" ".join(b"%d 0 R" % (10 + 2 * i) for i in range(n)))}
+    for k, face in ((3, b"Helvetica"), (4, b"Helvetica-Bold")):
+        out[k] = b"<</Type /Font /Subtype /Type1 /BaseFont /%s /Encoding /WinAnsiEncoding>>" % face
+    for i, lines in enumerate(pages):
+        body = b"BT 14 TL 72 770 Td " + b" ".join(b"/F%d %d Tf %s Tj T*" % ((2, 16, hexed(x)) if not j else (1, 11, hexed(x))) for j, x in enumerate(lines)) + b" ET"
+        raw = zlib.compress(body)
+        out[10 + 2 * i] = b"<</Type /Page /Parent 2 0 R /Contents %d 0 R /Resources <</Font <</F1 3 0 R /F2 4 0 R>>>>>>" % (11 + 2 * i)
+        out[11 + 2 * i] = b"<</Length %d /Filter /FlateDecode>>\nstream\n%s\nendstream" % (len(raw), raw)
+    first = 10 + 2 * n
+    for k, (title, page) in enumerate(titles):
+        out[first + k] = b"<</Title %s /Parent 5 0 R /Dest [%d 0 R /Fit]%s>>" % (hexed(title), 10 + 2 * page, b" /Next %d 0 R" % (first + k + 1) if k + 1 < len(titles) else b"")
+    out[5] = b"<</Type /Outlines%s>>" % (b" /First %d 0 R /Last %d 0 R /Count %d" % (first, first + len(titles) - 1, len(titles)) if titles else b"")
+    out[1] = b"<</Type /Catalog /Pages 2 0 R /Outlines 5 0 R>>"
+    data, at = bytearray(b"%PDF-1.4\n"), {}
+    for k in sorted(out):
+        at[k] = len(data)
+        data += b"%d 0 obj\n%s\nendobj\n" % (k, out[k])
+    place = len(data)
+    data += b"xref\n0 1\n0000000000 65535 f \n" + b"".join(b"%d 1\n%010d 00000 n \n" % (k, at[k]) for k in sorted(out))
+    return bytes(data + b"trailer\n<</Size %d /Root 1 0 R>>\nstartxref\n%d\n%%%%EOF\n" % (max(out) + 1, place))
