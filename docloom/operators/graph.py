@@ -43,12 +43,11 @@ def within_hops(edges: DataFrame, starts: DataFrame, entities: DataFrame, hops:
     keep = entities.select("id").distinct()
     seen = starts.select(F.col("id").alias("start"), "id").distinct()
     front = seen.join(keep, "id", "left_semi").select("start", "id")
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    both = edges.select(F.explode(F.array(pair("source_id", "target_id"), pair("target_id", "source_id"))).alias("e")).select("e.a", "e.b")
     for _ in range(hops):
-        # only edges at the frontier are looked at, each way by one equi-join; what they lead to is filtered after that
-        f = front.select("start", F.col("id").alias("__at"))
-        out = f.join(edges, f["__at"] == edges["source_id"]).select("start", F.col("target_id").alias("id"))
-        into = f.join(edges, f["__at"] == edges["target_id"]).select("start", F.col("source_id").alias("id"))
-        step = out.union(into).distinct().join(keep, "id", "left_semi").select("start", "id")
+        # only edges at the frontier are looked at, by one equi-join over one reading of them; where they lead is filtered after
+        step = front.join(both, front["id"] == both["a"]).select("start", F.col("b").alias("id")).distinct().join(keep, "id", "left_semi").select("start", "id")
         front = step.join(seen, ["start", "id"], "left_anti")
         seen = seen.union(front)
     return seen.where("start <> id")
