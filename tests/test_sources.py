@@ -67,3 +67,19 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["--store", f"{tmp_path}/s", "--search", "robert", "--stats", "--json"]) == 0
     out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert out["found"][0]["name"] == "Robert" and out["types"]["CHARACTER"] > 0
+
+
+def test_command_line_asks_and_lists(spark, tmp_path, capsys, monkeypatch):
+    import io
+    import sys
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("Maria met Robert. " * 30)
+    (tmp_path / "in/b.xyz").write_text("?")
+    assert main([f"{tmp_path}/in", "--batch", "--verbose", "--store", f"{tmp_path}/s", "--domains", "literary", "--json"]) == 0
+    out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert [v for k, v in out["refused"].items() if k.endswith("b.xyz")] == ["unsupported extension"]
+    monkeypatch.setattr(sys, "stdin", io.StringIO("stats\nsearch maria\nwhat\nquit\nsearch robert\n"))
+    assert main(["--store", f"{tmp_path}/s", "--interactive", "--quiet"]) == 0
+    lines = capsys.readouterr().out.strip().splitlines()
+    assert json.loads(lines[0])["CHARACTER"] > 0 and json.loads(lines[1])[0]["name"] == "Maria" and lines[2] == "stats, search NAME or quit" and len(lines) == 3
