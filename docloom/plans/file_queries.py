@@ -9,7 +9,7 @@ import io
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import extraction as X
@@ -61,19 +61,22 @@ def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 _NAME = "CASE n_nationkey % 6 WHEN 0 THEN 'n' || n_nationkey || '.txt' WHEN 1 THEN 'n' || n_nationkey || '.md' WHEN 2 THEN 'n' || n_nationkey || '.docx' WHEN 3 THEN 'n' || n_nationkey || '.rtf' WHEN 4 THEN 'n' || n_nationkey || '.xyz' ELSE 'n' || n_nationkey || '.txt' END"
-_file = F.regexp_extract("source_file", "([^/]*)$", 1).alias("file")
+
+
+def _file() -> Column:
+    return F.regexp_extract("source_file", "([^/]*)$", 1).alias("file")
 
 
 @query(f"""SELECT {_NAME} AS file, CASE n_nationkey % 6 WHEN 0 THEN 'txt' WHEN 1 THEN 'md' WHEN 2 THEN 'docx' ELSE 'rtf' END AS file_type,
 CASE n_nationkey % 6 WHEN 0 THEN n_name || ' of texts' || chr(10) || 'line ' || n_nationkey WHEN 1 THEN n_name || ' é' WHEN 2 THEN n_name || chr(10) || chr(10) || 'second' ELSE n_name || chr(10) || 'café' END AS content
 FROM nation WHERE n_nationkey % 6 < 4""")
 def files_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _files(spark, sf_dir)[0].select(_file, "file_type", "content")
+    return _files(spark, sf_dir)[0].select(_file(), "file_type", "content")
 
 
 @query(f"SELECT {_NAME} AS file, CASE n_nationkey % 6 WHEN 4 THEN 'unsupported extension' ELSE 'blank or too large' END AS error FROM nation WHERE n_nationkey % 6 >= 4")
 def files_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _files(spark, sf_dir)[1].select(_file, "error")
+    return _files(spark, sf_dir)[1].select(_file(), "error")
 
 
 @query("SELECT CASE WHEN n_nationkey % 6 < 4 THEN 'success' ELSE 'failed' END AS status, count(*) AS n FROM nation GROUP BY 1")

@@ -21,3 +21,14 @@ def test_entry_runs_without_llm(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_entry_is_imported_without_a_session():
+    """The driver imports the entry before it makes a session."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; print(len(e.queries()) - len(e.oracle_sql()))"
+    assert int(subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout) >= 0
