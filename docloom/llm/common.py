@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -136,6 +137,20 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def trim_memory() -> None:
+    """Give freed memory back: a worker is used for one stage after the other, and would keep the most that any has needed."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim
+except (OSError, AttributeError):  # another C library: memory stays with the worker
+    _LIBC = None
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a batch into runs of rows with about ``limit`` bytes of text: (first row, end row, bytes, offsets).
 
@@ -153,6 +168,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator
         b = max(a + 1, int(np.searchsorted(off, off[a] + limit, "right")) - 1)
         yield a, b, data[off[a] : off[b]], off[a : b + 1] - off[a]
         a = b
+    trim_memory()
 
 
 # --- words and hashes ------------------------------------------------------------------------

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import trim_memory
+
 MARK = "▁"
 _CUT = re.compile(rf"(?<=[^ \n{MARK}\0]) (?=[^ \n{MARK}\0])")
 
@@ -238,5 +240,6 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 back.append(sha(d.encode()))
                 spans.append(sha(s))
             yield pa.record_batch([*(b.column(k) for k in range(len(keep))), pa.array(n, pa.int64()), *(pa.array(c, pa.string()) for c in (ids, back, spans))], [*keep, *new])
+            trim_memory()
 
     return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
