@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table; documents in at least as many partitions as there are cores, since a file of a single row group would leave
+    all work on its texts to one.  Tables with enough row groups, as any large one has, are read as they are."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if table == "documents" and df.rdd.getNumPartitions() < cores else df
 
 
 def vocabulary(name: str) -> str:
