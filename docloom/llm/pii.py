@@ -2,11 +2,11 @@
 
 The patterns give the base spans, which always stay.  The network finds what the patterns can't: the same four kinds in
 forms that they don't take, such as addresses with a written "at" and "dot", numbers with other separators or without a
-plus sign, and two numbers side by side that a greedy pattern joins and then drops.  It reads windows of characters around
-digits, at-signs and bracketed "at" and "dot", each window overlapping the next; it is trained in numpy from the base
-spans of a bounded sample and from labelled spans planted in lines of the sample's words, among look-alikes that are none.
-Windows are decoded by Viterbi, and their spans are reconciled over the whole text: among overlapping proposals the one
-deepest inside its window wins, base spans win over all.  A span that the network proposes counts if it is certain enough
+plus sign, and two numbers side by side that a greedy pattern joins and then drops.  It reads every text from end to end,
+in pieces that overlap, leaving out only pieces in which no span could pass the test below; it is trained in numpy from the base spans of a bounded sample (windows around digits, at-signs and
+bracketed "at" and "dot") and from labelled spans planted in lines of the sample's words, among look-alikes that are none.
+Pieces are decoded by Viterbi, and their spans are reconciled over the whole text: among overlapping proposals the one
+deepest inside its piece wins, base spans win over all.  A span that the network proposes counts if it is certain enough
 and if, with separators and brackets taken out, it has the content of its kind (``well_formed``).
 """
 
@@ -33,7 +33,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-#: What a window is read around; no span of the four kinds, in whatever form, is without one of these.
+#: What windows to learn from are cut around.
 _DIGIT = re.compile(r"[0-9@]|[\[({<] ?(?:[aA][tT]|[dD][oO][tT])\b")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 Span = tuple[str, int, int]
@@ -98,9 +98,14 @@ def well_formed(kind: str, s: str) -> bool:
     return 9 <= len(d) <= 15 and (s[0] in "+(" or d[0] == "0")
 
 
+#: No span is ``well_formed`` without one of these: its digits, or what ``_AT`` takes (of whose spaces one is enough).
+_SIGN = re.compile(r"[0-9@]|[\[({<] *at *[\])}>]| at ", re.I)
+
+
 # --- the network -----------------------------------------------------------------------------
 
-WINDOW, STEP, REACH = 96, 64, 24
+WINDOW, STEP, REACH = 96, 64, 24  # of what is learned from
+READ, OVERLAP = 1024, 128  # of what is read
 HIDDEN, EMBED = 24, 12
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 _CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789@.+-()_%\"'=:/, \n"
@@ -229,7 +234,10 @@ def _viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
 
 
 def windows(text: str) -> list[int]:
-    """Starts of the overlapping windows that cover all characters within REACH of a digit or an at-sign."""
+    """Starts of the overlapping windows to learn from, which cover all characters within REACH of a sign of ``_DIGIT``.
+
+    Only the sample for learning is cut so; the fitted network reads all of every text (``pieces``).
+    """
     out: list[int] = []
     end = 0
     for m in _DIGIT.finditer(text):
@@ -365,35 +373,93 @@ def train(texts: list[str], seed: int = 4, steps: int = 800, batch: int = 48, mo
     return Model(p)
 
 
+def pieces(n: int) -> list[tuple[int, int]]:
+    """Starts and ends of the pieces in which a text of n characters is read: all of it, each piece overlapping the next."""
+    return [(a, min(n, a + READ)) for a in range(0, max(1, n - OVERLAP), READ - OVERLAP)] if n else []
+
+
+def _read(codes: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
+    """The emissions (time x batch x tag) of ``_emissions``, without what only learning needs.
+
+    Twice the outputs are carried, and gates without their halves, so that fewer passes over them are needed.
+    """
+    b, n = codes.shape
+    table = (p["E"] @ p["W"] + p["a"]) * _HALF
+    u, v = p["U"] * _HALF * np.float32(0.5), (p["V"] * np.float32(0.5)).reshape(2, HIDDEN, TAGS)
+    e = np.empty((n, b, TAGS), np.float32)
+    e[:] = p["c"]
+    h, c = np.zeros((2, b, HIDDEN), np.float32), np.zeros((2, b, HIDDEN), np.float32)
+    z, one = np.empty((2, b, 4 * HIDDEN), np.float32), np.ascontiguousarray(codes.T)
+    for t in range(n):
+        np.matmul(h, u, out=z)
+        z[0] += table[0][one[t]]
+        z[1] += table[1][one[n - 1 - t]]
+        np.tanh(z, out=z)
+        z[..., : 3 * HIDDEN] += 1
+        c *= z[..., HIDDEN : 2 * HIDDEN]
+        c += z[..., :HIDDEN] * z[..., 3 * HIDDEN :]
+        c *= np.float32(0.5)
+        np.multiply(np.tanh(c), z[..., 2 * HIDDEN : 3 * HIDDEN], out=h)
+        e[t] += h[0] @ v[0]
+        e[n - 1 - t] += h[1] @ v[1]
+    return e
+
+
+def _not_plain(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Which sequences of a batch have a better path than the one without any span: Viterbi's scores, less that path's."""
+    w = np.ascontiguousarray((e - e[..., :1]).transpose(0, 2, 1))
+    step = (trans - trans[0, 0])[:, :, None]
+    best = w[0]
+    for t in range(1, len(w)):
+        best = (best[:, None] + step).max(0)
+        best += w[t]
+    return np.flatnonzero((best > 0).any(0))
+
+
 def _network_spans(model: Model, texts: list[str], block: int = 256) -> list[list[Span]]:
-    """Spans of the reconciled windows of each text, most certain windows first; only structurally possible ones."""
-    cuts = [(i, s) for i, t in enumerate(texts) for s in windows(t)]
-    got: list[list[tuple[int, Span]]] = [[] for _ in texts]
-    for a in range(0, len(cuts), block):
-        own = cuts[a : a + block]
-        codes = np.zeros((len(own), WINDOW), np.int64)
-        for j, (i, s) in enumerate(own):
-            c = _codes(texts[i][s : s + WINDOW])
-            codes[j, : len(c)] = c
-        e, _ = _emissions(codes, model.p)
-        tags, (q, _, _) = _viterbi(e, model.p["T"]), _crf(e, model.p["T"])
-        for j in np.flatnonzero((tags > 0).any(0)):
-            i, s = own[j]
-            n = min(WINDOW, len(texts[i]) - s)
-            t = 0
-            while t < n:
-                k = int(tags[t, j])
-                if k == 0:
-                    t += 1
-                    continue
-                kind, u = (k - 1) // 2, t + 1
-                while u < n and tags[u, j] == 2 + 2 * kind:
-                    u += 1
-                inside = k % 2 == 1 and (t > 0 or s == 0) and (u < n or s + n == len(texts[i]))
-                sure = float(q[np.arange(t, u), j, tags[t:u, j]].min()) if inside else 0.0
-                if sure >= model.sure:
-                    got[i].append((-min(t, n - u), (KINDS[kind], s + t, s + u)))
-                t = u
+    """Spans of the reconciled pieces of each text, those deepest inside a piece first.
+
+    Every position is read, but for pieces without any ``_SIGN``, where no span could be ``well_formed``: the result of
+    ``find_spans`` is the same as if these were read too.
+    A span that a piece's edge may have cut, and that is too long to be whole in the next piece, is read again in a piece of
+    twice the length round it.
+    """
+    todo = [(i, a, z) for i, t in enumerate(texts) if _SIGN.search(t) for a, z in pieces(len(t)) if _SIGN.search(t, a, z)]
+    done = set(todo)
+    got: list[set[tuple[int, Span]]] = [set() for _ in texts]
+    while todo:
+        todo.sort(key=lambda x: x[2] - x[1])
+        more: list[tuple[int, int, int]] = []
+        for first in range(0, len(todo), block):
+            own = todo[first : first + block]
+            codes = np.zeros((len(own), max(WINDOW, own[-1][2] - own[-1][1])), np.int64)
+            for j, (i, a, z) in enumerate(own):
+                codes[j, : z - a] = _codes(texts[i][a:z])
+            e = _read(codes, model.p)
+            some = _not_plain(e, model.p["T"])
+            if not len(some):
+                continue
+            tags, (q, _, _) = _viterbi(e[:, some], model.p["T"]), _crf(e[:, some], model.p["T"])
+            for j, k0 in enumerate(some):
+                i, s, z = own[k0]
+                n, at = z - s, np.flatnonzero(tags[:, j])
+                at, t = at[at < n], 0
+                for t0 in at.tolist():
+                    if t0 < t:
+                        continue
+                    k, t = int(tags[t0, j]), t0 + 1
+                    kind = (k - 1) // 2
+                    while t < n and tags[t, j] == 2 + 2 * kind:
+                        t += 1
+                    inside = (t0 > 0 or s == 0) and (t < n or z == len(texts[i]))
+                    if not inside and t - t0 >= OVERLAP:
+                        wide = (i, max(0, s - n // 2), min(len(texts[i]), z + n // 2))
+                        if wide not in done:
+                            done.add(wide)
+                            more.append(wide)
+                    elif inside and k % 2 == 1 and float(q[np.arange(t0, t), j, tags[t0:t, j]].min()) >= model.sure:
+                        got[i].add((-min(t0, n - t), (KINDS[kind], s + t0, s + t)))
+        todo = more
     out = []
     for found in got:
         kept: list[Span] = []
@@ -410,10 +476,9 @@ def find_spans(model: Model | None, texts: list[str]) -> list[tuple[list[Span],
     A span of the network must be ``well_formed`` and must not be cut out of a longer run of letters or digits.
     """
     base = [base_spans(t) for t in texts]
-    some = [i for i, t in enumerate(texts) if _DIGIT.search(t)]
     extra: list[list[Span]] = [[] for _ in texts]
     if model is not None:
-        for i, spans in zip(some, _network_spans(model, [texts[i] for i in some])):
+        for i, spans in enumerate(_network_spans(model, texts)):
             t = texts[i]
             for kind, a, b in spans:
                 free = not (a and t[a - 1].isalnum()) and not (b < len(t) and t[b].isalnum())
