@@ -61,3 +61,13 @@ def test_sign_is_in_all_that_is_well_formed():
         t, spans = pii._plant(rng, WORDS, bool(rng.integers(2)))
         assert all(pii._SIGN.search(t[a:z]) for _, a, z in spans)
     assert pii.well_formed("email", "jo (   at ) mail . org") and pii._SIGN.search("jo (   at ) mail . org")
+
+
+def test_pipeline_redacts_what_stands_far_from_any_digit(spark, model, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline.pii, "fit", lambda docs: model)
+    before = " ".join(WORDS * 15)
+    docs = spark.createDataFrame([(1, f"{before} salu AT domo DOT org {before}", 0), (2, before, 0)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.no_personal_data(spark, docs, "").collect()}
+    assert got[1].text == f"{before} <email> {before}" and got[1].n_chars == len(got[1].text) and got[2].text == before
