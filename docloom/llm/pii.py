@@ -5,8 +5,8 @@ forms that they don't take, such as addresses with a written "at" and "dot", num
 plus sign, and two numbers side by side that a greedy pattern joins and then drops.  It reads every text from end to end,
 in pieces that overlap, leaving out only pieces in which no span could pass the test below; it is trained in numpy from the base spans of a bounded sample (windows around digits, at-signs and
 bracketed "at" and "dot") and from labelled spans planted in lines of the sample's words, among look-alikes that are none.
-Pieces are decoded by Viterbi, and their spans are reconciled over the whole text: among overlapping proposals the one
-deepest inside its piece wins, base spans win over all.  A span that the network proposes counts if it is certain enough
+Pieces are decoded by Viterbi, and their spans are reconciled over the whole text: among overlapping proposals that count the
+one deepest inside its piece wins, base spans win over all.  A span that the network proposes counts if it is certain enough
 and if, with separators and brackets taken out, it has the content of its kind (``well_formed``).
 """
 
@@ -416,15 +416,28 @@ def _not_plain(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return np.flatnonzero((best > 0).any(0))
 
 
-def _network_spans(model: Model, texts: list[str], block: int = 256) -> list[list[Span]]:
-    """Spans of the reconciled pieces of each text, those deepest inside a piece first.
+def _may_hold(text: str, a: int, z: int) -> bool:
+    """Whether a span that counts could lie in a piece, or a part of it that leads to one."""
+    return _SIGN.search(text, a, z) is not None
 
-    Every position is read, but for pieces without any ``_SIGN``, where no span could be ``well_formed``: the result of
-    ``find_spans`` is the same as if these were read too.
+
+def _network_spans(model: Model, texts: list[str], base: list[list[Span]], block: int = 256) -> list[list[Span]]:
+    """Spans that count in the reconciled pieces of each text, those deepest inside a piece first.
+
+    A span counts if it is ``well_formed``, isn't cut out of a longer run of letters or digits, and overlaps no base span; others
+    are dropped before the pieces are reconciled, so that none stands in the way of one that counts.
     A span that a piece's edge may have cut, and that is too long to be whole in the next piece, is read again in a piece of
-    twice the length round it.
+    twice the length round it, if what was seen of it holds a sign; of any span that counts, some piece shows such a part.
+    So a piece without any sign neither gives a span nor has anything read again, whatever the network says of it, and
+    leaving it out can't change the result.
     """
-    todo = [(i, a, z) for i, t in enumerate(texts) if _SIGN.search(t) for a, z in pieces(len(t)) if _SIGN.search(t, a, z)]
+
+    def counts(i: int, kind: str, a: int, b: int) -> bool:
+        t = texts[i]
+        free = not (a and t[a - 1].isalnum()) and not (b < len(t) and t[b].isalnum())
+        return free and well_formed(kind, t[a:b]) and all(b <= y or z <= a for _, y, z in base[i])
+
+    todo = [(i, a, z) for i, t in enumerate(texts) for a, z in pieces(len(t)) if _may_hold(t, a, z)]
     done = set(todo)
     got: list[set[tuple[int, Span]]] = [set() for _ in texts]
     while todo:
@@ -452,12 +465,12 @@ def _network_spans(model: Model, texts: list[str], block: int = 256) -> list[lis
                     while t < n and tags[t, j] == 2 + 2 * kind:
                         t += 1
                     inside = (t0 > 0 or s == 0) and (t < n or z == len(texts[i]))
-                    if not inside and t - t0 >= OVERLAP:
+                    if not inside and t - t0 >= OVERLAP and _SIGN.search(texts[i], s + t0, s + t):
                         wide = (i, max(0, s - n // 2), min(len(texts[i]), z + n // 2))
                         if wide not in done:
                             done.add(wide)
                             more.append(wide)
-                    elif inside and k % 2 == 1 and float(q[np.arange(t0, t), j, tags[t0:t, j]].min()) >= model.sure:
+                    elif inside and k % 2 == 1 and float(q[np.arange(t0, t), j, tags[t0:t, j]].min()) >= model.sure and counts(i, KINDS[kind], s + t0, s + t):
                         got[i].add((-min(t0, n - t), (KINDS[kind], s + t0, s + t)))
         todo = more
     out = []
@@ -476,14 +489,7 @@ def find_spans(model: Model | None, texts: list[str]) -> list[tuple[list[Span],
     A span of the network must be ``well_formed`` and must not be cut out of a longer run of letters or digits.
     """
     base = [base_spans(t) for t in texts]
-    extra: list[list[Span]] = [[] for _ in texts]
-    if model is not None:
-        for i, spans in enumerate(_network_spans(model, texts)):
-            t = texts[i]
-            for kind, a, b in spans:
-                free = not (a and t[a - 1].isalnum()) and not (b < len(t) and t[b].isalnum())
-                if free and well_formed(kind, t[a:b]) and all(b <= y or z <= a for _, y, z in base[i]):
-                    extra[i].append((kind, a, b))
+    extra = _network_spans(model, texts, base) if model is not None else [[] for _ in texts]
     order = {k: n for n, k in enumerate(KINDS)}
     return [(b, sorted(b + x, key=lambda s: (order[s[0]], s[1]))) for b, x in zip(base, extra)]
 

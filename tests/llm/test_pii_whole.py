@@ -71,3 +71,29 @@ def test_pipeline_redacts_what_stands_far_from_any_digit(spark, model, monkeypat
     docs = spark.createDataFrame([(1, f"{before} salu AT domo DOT org {before}", 0), (2, before, 0)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r for r in corpus_pipeline.no_personal_data(spark, docs, "").collect()}
     assert got[1].text == f"{before} <email> {before}" and got[1].n_chars == len(got[1].text) and got[2].text == before
+
+
+def test_what_does_not_count_hides_nothing(monkeypatch):
+    """A span that crosses into the next piece stays, whatever the network says there, and whether or not that piece holds a sign
+    and so is read: an ill-formed proposal deeper inside its piece used to win over the well-formed one and then be dropped."""
+    email = "jo @ " + "m" * 69 + " . org"
+    text = "x" * 889 + " " + email + " " + "y" * 1000
+    a = 890
+    assert pii.well_formed("email", email) and a + len(email) == 970 and not pii._SIGN.search(text, *pii.pieces(len(text))[1])
+
+    def say(codes, p):  # the address, whole in the first piece; in the second ill-formed text from place 64 on
+        e = np.zeros((codes.shape[1], len(codes), pii.TAGS), np.float32)
+        e[..., 0] = 9
+        for k, c in enumerate(codes):
+            lo, hi = (a, 970) if (c == pii._CODE["@"]).any() else (64, 300)
+            e[lo:hi, k, 2] = 40
+            e[lo, k, 1] = 80
+        return e
+
+    monkeypatch.setattr(pii, "_read", say)
+    model = pii.Model({"T": np.zeros((pii.TAGS, pii.TAGS), np.float32)})
+    signed = text[:1500] + " 7 " + text[1503:]
+    got = pii.find_spans(model, [text, signed])
+    assert [every for _, every in got] == [[("email", a, 970)]] * 2
+    monkeypatch.setattr(pii, "_SIGN", re.compile(""))  # every piece is read
+    assert pii.find_spans(model, [text, signed]) == got
