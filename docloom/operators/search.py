@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.vectors import dot, similarity
+from docloom.functions.vectors import dot, rounded, rounded_np, similarity
 from docloom.operators.providers import Embedder
 
 PLACES = 9
@@ -14,7 +14,7 @@ PLACES = 9
 def top_k(vectors: DataFrame, query: list[float], k: int, least: float | None = None, id_col: str = "id", vector: str = "embedding", clamp: bool = False) -> DataFrame:
     """The ``k`` rows of greatest product with one query vector, ties to the smaller id; a threshold is applied after."""
     q = F.array(*(F.lit(float(x)) for x in query))
-    score = F.round((similarity if clamp else dot)(F.col(vector), q), PLACES)
+    score = rounded((similarity if clamp else dot)(F.col(vector), q), PLACES)
     best = vectors.withColumn("score", score).orderBy(F.desc("score"), id_col).limit(k)
     return best if least is None else best.where(F.col("score") >= least)
 
@@ -44,7 +44,7 @@ def top_k_join(queries: DataFrame, vectors: DataFrame, k: int, least: float, que
         if q.num_rows and v.num_rows:
             ids, vid, mat, x = q["query_id"].to_pylist(), v["id"].to_numpy(), matrix(q["q"]), matrix(v["v"])
             for a in range(0, len(ids), 256):
-                s = np.round(mat[a : a + 256] @ x.T, PLACES)
+                s = rounded_np(mat[a : a + 256] @ x.T, PLACES)
                 for r in range(len(s)):
                     hit = np.flatnonzero(s[r] >= least)
                     if len(hit) > k:  # those as good as the k-th, which may be more than k
@@ -69,7 +69,7 @@ def best_match(candidates: DataFrame, by: str, score: Column, value: str, least:
 def first_jump(scores: DataFrame, by: str, order: str, score: str = "score", rise: float = 0.3, least: float = 0.5) -> DataFrame:
     """Per group the first place where the score rises by more than ``rise`` to more than ``least``."""
     w = Window.partitionBy(by).orderBy(order)
-    up = scores.withColumn("before", F.lag(score).over(w)).where((F.round(F.col(score) - F.col("before"), PLACES) > rise) & (F.col(score) > least))
+    up = scores.withColumn("before", F.lag(score).over(w)).where((rounded(F.col(score) - F.col("before"), PLACES) > rise) & (F.col(score) > least))
     return up.groupBy(by).agg(F.min(order).alias(order))
 
 
@@ -106,7 +106,7 @@ def title_match(titles: DataFrame, windows: DataFrame, least: float = 0.6) -> Da
     Null where the page has no window.
     """
     both = titles.join(windows, ["doc_id", "page"], "left")
-    return both.groupBy("doc_id", "page", "title").agg((F.max(F.when(F.col("v").isNotNull(), F.round(similarity(F.col("q"), F.col("v")), PLACES))) >= least).alias("matches"))
+    return both.groupBy("doc_id", "page", "title").agg((F.max(F.when(F.col("v").isNotNull(), rounded(similarity(F.col("q"), F.col("v")), PLACES))) >= least).alias("matches"))
 
 
 def cache_put(cache: DataFrame, new: DataFrame) -> DataFrame:

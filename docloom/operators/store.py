@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import trim_u
-from docloom.functions.vectors import similarity
+from docloom.functions.vectors import rounded, similarity
 from docloom.operators.search import PLACES
 
 
@@ -61,14 +61,14 @@ def search_names(entities: DataFrame, query: str, limit: int = 10, order: str =
         return entities.withColumn("score", F.lit(0.0)).limit(0)
     alias = F.try_element_at(F.filter("aliases", lambda a: F.contains(F.lower(a), F.lit(q))), F.lit(1))
     hit = F.when(F.contains(F.lower("name"), F.lit(q)), F.length("name")).otherwise(F.length(alias))
-    rows = entities.withColumn("score", F.round(F.lit(float(len(q))) / hit, PLACES)).where("score is not null")
+    rows = entities.withColumn("score", rounded(F.lit(float(len(q))) / hit, PLACES)).where("score is not null")
     return rows.orderBy(F.desc("score"), order).limit(limit)
 
 
 def search_vectors(entities: DataFrame, query: list[float], kind: str | None = None, least: float = 0.6, limit: int = 10) -> DataFrame:
     q = F.array(*(F.lit(float(x)) for x in query))
     rows = entities.where(F.col("type") == kind) if kind else entities
-    rows = rows.withColumn("score", F.round(similarity(F.col("embedding"), q), PLACES)).where(F.col("score") >= least)
+    rows = rows.withColumn("score", rounded(similarity(F.col("embedding"), q), PLACES)).where(F.col("score") >= least)
     return rows.orderBy(F.desc("score"), "id").limit(limit)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import normalise, page_mentions, preview, title_preview
-from docloom.functions.vectors import similarity
+from docloom.functions.vectors import rounded, similarity
 from docloom.operators.providers import Embedder, LetterEmbedder
 
 NUMBERING = r"^(?:[0-9]+\.|[\p{L}\p{N}_]+\s+[0-9]+|Art\.|Artykuł|Chapter|Rozdział|Section|§)"
@@ -158,9 +158,9 @@ def semantic_places(places: DataFrame, lines: DataFrame, embedder: Embedder | No
     page = Window.partitionBy("doc_id", "page")
     own = lines.join(wanted, ["doc_id", "page"], "left_semi").withColumn("marked", (F.col("flags").bitwiseAND(16) > 0) | (F.col("font_size") > 1.1 * F.avg("font_size").over(page)))
     own = own.select("doc_id", "page", "ord", F.col("y1").alias("ly"), "marked", embed(F.col("text")).alias("v"))
-    both = left.join(own, ["doc_id", "page"]).withColumn("s", F.round(similarity(F.col("q"), F.col("v")), 9)).drop("q", "v")
+    both = left.join(own, ["doc_id", "page"]).withColumn("s", rounded(similarity(F.col("q"), F.col("v")))).drop("q", "v")
     before = F.lag("s").over(Window.partitionBy("doc_id", "entry", "page").orderBy("ord"))
-    both = both.withColumn("jump", (F.round(F.col("s") - before, 9) > rise) & (F.col("s") > high))
+    both = both.withColumn("jump", (rounded(F.col("s") - before) > rise) & (F.col("s") > high))
     visual = F.min(F.when(F.col("marked") & (F.col("s") >= least), F.struct((-F.col("s")).alias("r"), "ord", "ly")))["ly"]
     jump = F.min(F.when(F.col("jump"), F.struct("ord", "ly")))["ly"]
     found = both.groupBy("doc_id", "entry", "page").agg(visual.alias("visual"), jump.alias("jump"))

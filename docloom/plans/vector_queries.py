@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.vectors import dot, similarity
+from docloom.functions.vectors import dot, rounded, similarity
 from docloom.operators import search as V
 from docloom.operators.providers import LetterEmbedder
 from docloom.operators.store import search_vectors
@@ -56,7 +56,7 @@ SELECT label, vec_id, score FROM r WHERE n = 1 AND score >= 0.2""")
 def vec_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.array(*(F.lit(float(x)) for x in _query(spark, sf_dir)))
     e = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
-    return V.best_match(e, "label", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(dot(F.col("embedding"), q), 9))), "vec_id", 0.2)
+    return V.best_match(e, "label", F.greatest(F.lit(0.0), F.least(F.lit(1.0), rounded(dot(F.col("embedding"), q)))), "vec_id", 0.2)
 
 
 @query(f"""WITH {_Q}, s AS (SELECT vec_id, label, greatest(0.0, least(1.0, round({DOT.format(a='embedding', b='e')}, 9))) AS score FROM embeddings, q),
@@ -64,7 +64,7 @@ l AS (SELECT *, lag(score) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM s
 SELECT label, min(vec_id) AS vec_id FROM l WHERE round(score - b, 9) > 0.1 AND score > 0.1 GROUP BY label""")
 def vec_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.array(*(F.lit(float(x)) for x in _query(spark, sf_dir)))
-    s = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(dot(F.col("embedding"), q), 9))).alias("score"))
+    s = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), rounded(dot(F.col("embedding"), q)))).alias("score"))
     return V.first_jump(s, "label", "vec_id", rise=0.1, least=0.1)
 
 
@@ -73,7 +73,7 @@ SELECT vec_id, CASE WHEN b IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, round(
 def vec_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     nxt = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
-    return v.join(nxt, "vec_id", "left").select("vec_id", F.round(similarity(F.col("embedding"), F.col("b")), 9).alias("similarity"))
+    return v.join(nxt, "vec_id", "left").select("vec_id", rounded(similarity(F.col("embedding"), F.col("b"))).alias("similarity"))
 
 
 @query(f"""WITH k AS (SELECT DISTINCT sha256({trim_sql('text')}) AS text_hash FROM documents)
