@@ -84,13 +84,17 @@ def keyed(texts: DataFrame) -> DataFrame:
     return texts.withColumn("text_hash", F.sha2(trim_u(F.col("text")), 256))
 
 
-def embed_with_cache(texts: DataFrame, cache: DataFrame, embedder: Embedder, cached_at: Column) -> tuple[DataFrame, DataFrame]:
-    """(texts with embeddings, rows to append to the cache).  Only distinct misses are embedded; append before use."""
+def embed_with_cache(texts: DataFrame, cache: DataFrame, embedder: Embedder, cached_at: Column, keep_key: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(texts with embeddings, rows to append to the cache).  Only distinct misses are embedded; append before use.
+
+    ``keep_key`` keeps the column text_hash, so that who needs the keys needn't make them again and the texts can stay
+    behind."""
     from docloom.functions.text import preview
 
     misses = embed_misses(texts, cache, embedder.model).select(F.lit(embedder.model).alias("model"), "text_hash", embedder.embed(F.col("text")).alias("embedding"), preview(F.col("text")).alias("text_preview"), cached_at.alias("cached_at"))
     known = cache.where(F.col("model") == embedder.model).select("text_hash", "embedding").unionByName(misses.select("text_hash", "embedding"))
-    return keyed(texts).join(known, "text_hash", "left").drop("text_hash"), misses
+    out = keyed(texts).join(known, "text_hash", "left")
+    return out if keep_key else out.drop("text_hash"), misses
 
 
 def cache_stats(lookups: DataFrame, cache: DataFrame) -> DataFrame:

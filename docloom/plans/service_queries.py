@@ -335,9 +335,9 @@ def embed_write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = LetterEmbedder()
     at = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
     first = V.embed_with_cache(d.where("lang = 'en'").drop("lang"), spark.createDataFrame([], "model string, text_hash string, embedding array<double>, text_preview string, cached_at timestamp"), model, at)[1]
-    out, new = V.embed_with_cache(d.drop("lang"), first, model, at)
+    out, new = V.embed_with_cache(d.drop("lang"), first, model, at, keep_key=True)
     cache = V.cache_put(first, new)
-    return V.keyed(out).select("doc_id", "text_hash", F.col("embedding").isNotNull().alias("embedded")).join(F.broadcast(cache.agg(F.count(F.lit(1)).alias("cached"))))
+    return out.select("doc_id", "text_hash", F.col("embedding").isNotNull().alias("embedded")).join(F.broadcast(cache.agg(F.count(F.lit(1)).alias("cached"))))
 
 
 @query("SELECT 'a' AS model, count(DISTINCT p_brand) AS n, max(p_size) AS latest FROM part")

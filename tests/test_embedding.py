@@ -34,3 +34,21 @@ def test_letters_of_arrays(spark):
     assert got == {0: [one["ab"], one[""], one["KB"]], 1: [], 2: [], 3: [one["z"]]} and one["z"][25] == 1.0 and one["KB"][10] > 0
 
 
+def test_write_back_makes_keys_once_and_shuffles_no_text_for_the_lookup(spark, tmp_path):
+    """What is looked up goes to the join as a key alone; texts are moved to find distinct misses only."""
+    rows = [(i, f"  text {i % 7}\n", "en" if i % 2 else "de") for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["embed_write_back"](spark, str(tmp_path))
+    assert sorted((r.doc_id, r.embedded, r.cached) for r in got.collect()) == [(i, True, 7) for i in range(20)]
+    plan = _plan(got)
+    assert "regexp_replace" not in plan
+    lookup = plan[: plan.index("Union")]
+    assert lookup.count("sha2(") == 1
+
+
+def test_trimming_is_that_of_python(spark):
+    from docloom.functions.text import trim_u
+
+    every = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+    texts = ["", " ", every, every + "a" + every + "b" + every, "a", "​x​", "x\r\n", "\U0001f600 "]
+    assert [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(trim_u(F.col("t"))).collect()] == [t.strip() for t in texts]
