@@ -68,11 +68,15 @@ def export_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def of_types(nodes: DataFrame, edges: DataFrame, types: list[str], most: int | None = 900) -> tuple[DataFrame, DataFrame]:
-    """Nodes that are no entities or entities of the types, and edges with both ends among them; cut to ``most``
-    (a display limit), nodes by id and edges by key."""
+    """Nodes that are no entities or entities of the types, and edges with both ends among them, each once; cut to
+    ``most`` (a display limit), nodes by id and edges by key.
+
+    Edges lead to entities, which types thin out, so their targets are looked up first and few go on to the sources, by
+    which what is left stays partitioned and loses its doubles without a further shuffle.  The ids are hashed: edges needn't be sorted, which would spill.
+    """
     kept = nodes.where((F.col("node_type") != "entity") | F.col("entity_type").isin(*types))
-    ids = kept.select("id")
-    e = edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
+    ids = kept.select("id").hint("shuffle_hash")
+    e = edges.join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi").join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").dropDuplicates([*EDGE_KEY])
     return (kept, e) if most is None else (kept.orderBy("id").limit(most), e.orderBy(*EDGE_KEY).limit(most))
 
 

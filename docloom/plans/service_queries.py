@@ -21,7 +21,7 @@ from docloom.operators.providers import FALLBACK, LIMITS, LetterEmbedder, RuleCl
 from docloom.plans.catalog import SQL, query, table, trim_sql
 from docloom.plans.chunk_queries import _CHUNK_LINE, chunk_line
 from docloom.plans.entity_queries import _DOMAIN, _MENTIONS
-from docloom.plans.graph_queries import EDGES, NODES, PARTS, edges, nodes, parts
+from docloom.plans.graph_queries import EDGES, NODES, PARTS, edges, nodes, parts, raw_edges
 from docloom.plans.layout_queries import _END, _START, CONV, TOC_LINES, conv_pages, lines
 from docloom.plans.stream_queries import _shared
 from docloom.plans.vector_queries import DOT, _query, _vectors
@@ -165,7 +165,7 @@ def graph_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT least(900, (SELECT count(*) FROM k)) AS nodes, (SELECT count(*) FROM k) > 900 AS nodes_truncated, least(900, (SELECT count(*) FROM e)) AS edges, (SELECT count(*) FROM e) > 900 AS edges_truncated,
 (SELECT string_agg(DISTINCT entity_type, '|' ORDER BY entity_type) FROM n WHERE node_type = 'entity') AS types""")
 def graph_endpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.view(nodes(spark, sf_dir), edges(spark, sf_dir), ["ECONOMY", "SUPPLIER"])
+    return G.view(nodes(spark, sf_dir), raw_edges(spark, sf_dir), ["ECONOMY", "SUPPLIER"])
 
 
 def _nations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
