@@ -53,16 +53,17 @@ def ends(found: DataFrame, lines: DataFrame, reach: int = 3, ratio: float = 0.3)
     """Each start with the place where its table ends.
 
     The table goes on, over ``reach`` pages at most, until a line that starts content once at least ``ratio`` of the lines so
-    far look like entries; without such a line it ends 50 below the last entry.
+    far look like entries; without such a line it ends 50 below the last entry.  What a line looks like is told once,
+    where it is read, and its text stays there: a line may stand in the reach of several starts.
     """
     size = lines.groupBy("doc_id").agg((F.max("page") + 1).alias("pages"))
     pages = found.withColumn("page", F.explode(F.sequence(F.col("start_page"), F.col("start_page") + reach - 1)))
-    text = trim_u(F.col("text"))
-    rows = pages.join(lines.select("doc_id", "page", "ord", "y", "text"), ["doc_id", "page"]).where((F.col("page") > F.col("start_page")) | (F.col("y") > F.col("start_y"))).where(F.length(text) >= 3)
-    rows = rows.withColumn("entry", is_entry(F.col("text")))
+    text = F.col("text")
+    seen = lines.where(F.length(trim_u(text)) >= 3).select("doc_id", "page", "ord", "y", is_entry(text).alias("entry"), is_content_start(text).alias("begins"))
+    rows = pages.join(seen, ["doc_id", "page"]).where((F.col("page") > F.col("start_page")) | (F.col("y") > F.col("start_y")))
     w = Window.partitionBy("doc_id", "start_page").orderBy("page", "ord").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"total": F.count(F.lit(1)).over(w), "entries": F.count_if("entry").over(w)})
-    stop = ~F.col("entry") & is_content_start(F.col("text")) & (F.col("entries") / F.col("total") >= ratio)
+    stop = ~F.col("entry") & F.col("begins") & (F.col("entries") / F.col("total") >= ratio)
     at = F.struct("page", "ord")
     per = rows.groupBy("doc_id", "start_page").agg(
         F.min_by(F.struct("page", "y", "entries", "total"), F.when(stop, at)).alias("stop"), F.max_by("y", F.when(F.col("entry"), at)).alias("last_y"), F.count_if("entry").alias("entries"), F.count(F.lit(1)).alias("total")
