@@ -83,8 +83,11 @@ def filter_edges(edges: DataFrame, entity: str | int | None = None, kind: str |
 
 
 def named_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:
-    """Edges with the names of their ends (the id where there is no entity), defaults for what is missing."""
-    n = entities.select("id", "name")
+    """Edges with the names of their ends (the id where there is no entity), defaults for what is missing.
+
+    The names are hashed, so that the edges needn't be sorted twice, which would spill.
+    """
+    n = entities.select("id", "name").hint("shuffle_hash")
     for end in ("source", "target"):
         edges = edges.join(n.withColumnsRenamed({"id": f"{end}_id", "name": f"{end}_name"}), f"{end}_id", "left")
         edges = edges.withColumn(f"{end}_name", F.coalesce(f"{end}_name", F.col(f"{end}_id").cast("string")))

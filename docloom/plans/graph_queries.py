@@ -63,8 +63,9 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders contain parts; suppliers supply parts."""
     li = table(spark, sf_dir, "lineitem")
     key = lambda k, c: F.concat(F.lit(k), F.col(c).cast("string"))
-    a = li.select(key("o", "l_orderkey").alias("source_id"), key("p", "l_partkey").alias("target_id"), F.lit("CONTAINS").alias("relation_type")).distinct()
-    return a.union(li.select(key("s", "l_suppkey"), key("p", "l_partkey"), F.lit("SUPPLIES")).distinct())
+    pairs = lambda c: li.select(c, "l_partkey").distinct()  # noqa: E731 - numbers take less than ids
+    a = pairs("l_orderkey").select(key("o", "l_orderkey").alias("source_id"), key("p", "l_partkey").alias("target_id"), F.lit("CONTAINS").alias("relation_type"))
+    return a.union(pairs("l_suppkey").select(key("s", "l_suppkey"), key("p", "l_partkey"), F.lit("SUPPLIES")))
 
 
 def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
