@@ -39,8 +39,17 @@ def simple_json(c: Column, required: str | None = None) -> Column:
 
 def entity_reply(c: Column) -> Column:
     """Entities and relationships of a reply: an object with both, or a bare list of entities; empty lists on failure."""
-    s = F.coalesce(json_fence(c), any_fence(c), trim_u(c))
-    s = F.when(F.try_parse_json(s).isNotNull(), s)
+    s = unfenced(c)
+    return entity_json(F.when(F.try_parse_json(s).isNotNull(), s))
+
+
+def unfenced(c: Column) -> Column:
+    """A reply without its fence and white space at both ends."""
+    return F.coalesce(json_fence(c), any_fence(c), trim_u(c))
+
+
+def entity_json(s: Column) -> Column:
+    """The same of what is JSON or null."""
     whole = F.from_json(s, REPLY)
     bare = F.from_json(s, f"array<{ENTITY}>")
     is_list = s.startswith("[")

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.replies import entity_reply
+from docloom.functions.replies import entity_json, unfenced
 from docloom.functions.text import around, trim_u
+from docloom.operators.chunking import settle
 from docloom.operators.domains import DOMAINS, threshold
 from docloom.operators.providers import Extractor, Provider, RuleExtractor
 
@@ -23,8 +24,11 @@ def mentions(chunks: DataFrame, extractor: Extractor | None = None, text: str =
 
 
 def from_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
-    """Raw entities of model replies; a reply that isn't JSON gives none."""
-    rows = replies.select(*[c for c in replies.columns if c != reply], F.posexplode(entity_reply(F.col(reply))["entities"]).alias("ord", "e"))
+    """Raw entities of model replies; a reply that isn't JSON gives none.  Each step is done once per reply."""
+    rows = settle(replies, __said=unfenced(F.col(reply)))
+    rows = settle(rows, __json=F.when(F.try_parse_json("__said").isNotNull(), F.col("__said")))
+    rows = settle(rows, __entities=entity_json(F.col("__json"))["entities"])
+    rows = rows.select(*[c for c in replies.columns if c != reply], F.posexplode("__entities").alias("ord", "e"))
     return rows.select(*[c for c in rows.columns if c != "e"], "e.*")
 
 
